@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import lines, mixing, urls
 
 
 def queries() -> dict:
     return {
+        "op1_urls": urls.op1_urls,
         "op3_mixing": mixing.op3_mixing,
+        "op6_lines": lines.op6_lines,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_urls": urls.OP1_SQL,
         "op3_mixing": mixing.OP3_SQL,
+        "op6_lines": lines.OP6_SQL,
     }
