@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, urls
+from . import lines, mixing, quality, rules, urls
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op1_urls": urls.op1_urls,
         "op3_mixing": mixing.op3_mixing,
         "op6_lines": lines.op6_lines,
+        "op7_quality": quality.op7_quality,
+        "op9_rules": rules.op9_rules,
     }
 
 
