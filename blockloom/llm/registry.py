@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, quality, rules, urls
+from . import html, lines, mixing, packing, quality, rules, urls
 
 
 def queries() -> dict:
     return {
         "op1_urls": urls.op1_urls,
         "op3_mixing": mixing.op3_mixing,
+        "op4_packing": packing.op4_packing,
+        "op5_html": html.op5_html,
         "op6_lines": lines.op6_lines,
         "op7_quality": quality.op7_quality,
         "op9_rules": rules.op9_rules,
