@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import html, lines, mixing, ngram, packing, quality, rules, urls
+from . import embeddings, html, lines, mixing, ngram, packing, quality, rules, urls
 
 
 def queries() -> dict:
     return {
         "op1_urls": urls.op1_urls,
+        "op2_embeddings": embeddings.op2_embeddings,
         "op3_mixing": mixing.op3_mixing,
         "op4_packing": packing.op4_packing,
         "op5_html": html.op5_html,
