@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, html, lines, mixing, ngram, packing, quality, rules, urls
+from . import embeddings, html, lines, mixing, ngram, packing, quality, rules, substrings, urls
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_html": html.op5_html,
         "op6_lines": lines.op6_lines,
         "op7_quality": quality.op7_quality,
+        "op8_substrings": substrings.op8_substrings,
         "op9_rules": rules.op9_rules,
         "op10_ngram": ngram.op10_ngram,
     }
