@@ -15,8 +15,13 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import bit_width, trunc_div, unsigned, unzigzag, varint_bytes, whole_bytes, zigzag
 
-_WHOLE = W.partitionBy("block_id")
-_ALONG = _WHOLE.orderBy("pos")
+
+def _whole() -> W:
+    return W.partitionBy("block_id")
+
+
+def _along() -> W:
+    return _whole().orderBy("pos")
 
 
 class Stride(Enum):
@@ -57,7 +62,7 @@ def delta(cells: DataFrame, stride: Stride) -> DataFrame:
     """block_id, pos, enc: zig-zagged differences. The adjacent form keeps its first value raw, the pairs form blocks under eight."""
     v = F.col("v").cast("long")
     if stride is Stride.ADJACENT:
-        before = F.lag(v).over(_ALONG)
+        before = F.lag(v).over(_along())
         return cells.select("block_id", "pos", F.when(before.isNull(), v).otherwise(zigzag(v - before)).alias("enc"))
     rows = _as_arrays(cells, "v")
     n = F.size("values")
@@ -85,7 +90,7 @@ def undelta(encoded: DataFrame, stride: Stride) -> DataFrame:
     """
     if stride is Stride.ADJACENT:
         step = F.when(F.col("pos") == 0, F.col("enc")).otherwise(unzigzag(F.col("enc")))
-        return encoded.select("block_id", "pos", F.sum(step).over(_ALONG).cast("int").alias("v"))
+        return encoded.select("block_id", "pos", F.sum(step).over(_along()).cast("int").alias("v"))
     rows = _as_arrays(encoded, "enc")
     n = F.size("values")
     at = F.transform("values", lambda z, i: F.coalesce(anchor(i, n, stride), F.lit(-1)))
@@ -111,24 +116,24 @@ def frame_of_reference(cells: DataFrame) -> DataFrame:
     """block_id, pos, enc: the least value at place 0, then twice each value's distance from it."""
     v = F.col("v").cast("long")
     low = cells.groupBy("block_id").agg(F.min(v).alias("enc")).select("block_id", F.lit(0).alias("pos"), "enc")
-    return low.unionByName(cells.select("block_id", (F.col("pos") + 1).alias("pos"), zigzag(v - F.min(v).over(_WHOLE)).alias("enc")))
+    return low.unionByName(cells.select("block_id", (F.col("pos") + 1).alias("pos"), zigzag(v - F.min(v).over(_whole())).alias("enc")))
 
 
 def unframe(encoded: DataFrame) -> DataFrame:
-    low = F.max(F.when(F.col("pos") == 0, F.col("enc"))).over(_WHOLE)
+    low = F.max(F.when(F.col("pos") == 0, F.col("enc"))).over(_whole())
     rows = encoded.withColumn("low", low).filter("pos > 0")
     return rows.select("block_id", (F.col("pos") - 1).alias("pos"), (unzigzag(F.col("enc")) + F.col("low")).cast("int").alias("v"))
 
 
 def run_lengths(cells: DataFrame) -> DataFrame:
     """block_id, run_no, value, run: stretches of equal values in order."""
-    new = F.when(F.lag("v").over(_ALONG).eqNullSafe(F.col("v")), F.lit(0)).otherwise(F.lit(1))
-    rows = cells.withColumn("new", new).withColumn("run_no", (F.sum("new").over(_ALONG) - 1).cast("int"))
+    new = F.when(F.lag("v").over(_along()).eqNullSafe(F.col("v")), F.lit(0)).otherwise(F.lit(1))
+    rows = cells.withColumn("new", new).withColumn("run_no", (F.sum("new").over(_along()) - 1).cast("int"))
     return rows.groupBy("block_id", "run_no").agg(F.first("v").alias("value"), F.count(F.lit(1)).alias("run"))
 
 
 def unrun(runs: DataFrame) -> DataFrame:
-    start = F.coalesce(F.sum("run").over(_WHOLE.orderBy("run_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    start = F.coalesce(F.sum("run").over(_whole().orderBy("run_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     rows = runs.withColumn("start", start).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("run") - 1)))
     return rows.select("block_id", (F.col("start") + F.col("i")).cast("int").alias("pos"), F.col("value").alias("v"))
 
@@ -152,7 +157,7 @@ def sizes(cells: DataFrame) -> DataFrame:
     frame: the least value, a width and packed distances.
     """
     u = unsigned(F.col("v"))
-    before = F.coalesce(F.lag("v").over(_ALONG), F.lit(0)).cast("long")
+    before = F.coalesce(F.lag("v").over(_along()), F.lit(0)).cast("long")
     rows = cells.withColumn("d", unsigned(F.col("v").cast("long") - before))
     return rows.groupBy("block_id").agg(
         F.count(F.lit(1)).alias("n"),
