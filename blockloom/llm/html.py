@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from .common import chunks, table
 
 #: Labelled pages that a fit builds, steps of the fit.
-PAGES, STEPS = 500, 150
+PAGES, STEPS = 800, 250
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z",
@@ -170,8 +170,7 @@ def blocks(html: str) -> list[Block]:
 def features(page: list[Block]) -> list[list[str]]:
     """Names of each block's features."""
     out = []
-    n = len(page)
-    for i, b in enumerate(page):
+    for b in page:
         words = b.text.count(" ") + 1
         size = "1" if words == 1 else "2-4" if words < 5 else "5-11" if words < 12 else "12-29" if words < 30 else "30+"
         link = "none" if not b.linked else "some" if b.linked < 0.5 else "most"
@@ -182,10 +181,6 @@ def features(page: list[Block]) -> list[list[str]]:
             own.append("stop")
         if "©" in b.text:
             own.append("copyright")
-        if i * 10 < n:
-            own.append("early")
-        if i * 10 >= n * 9:
-            own.append("late")
         out.append(own)
     return out
 
@@ -233,7 +228,7 @@ class Chain:
         return out[::-1]
 
 
-def fit(pages: list[tuple[list[Block], list[bool]]], steps: int = STEPS, rate: float = 0.1, decay: float = 1e-3) -> Chain:
+def fit(pages: list[tuple[list[Block], list[bool]]], steps: int = STEPS, rate: float = 0.1, decay: float = 1e-5) -> Chain:
     """Maximum likelihood with a quadratic penalty; pages are padded to one length, so each step is a few array operations."""
     pages = [p for p in pages if p[0]]
     named = [features(p) for p, _ in pages]
@@ -320,7 +315,7 @@ class _Maker:
 
     def header(self) -> str:
         inner = f"<{(h := self.one('h1', 'div', 'p', 'span'))}>{self.words(1, 6)}</{h}>" + (f"<p>{self.words(3, 12)}</p>" if self.chance(0.4) else "")
-        return self.one(f"<header>{inner}</header>", f'<div class="{self.one("header", "masthead", "site-header", "topbar", "banner")}">{inner}</div>')
+        return self.one(f"<header>{inner}</header>", f"<header>{inner}</header>", f'<div class="{self.one("header", "masthead", "site-header", "topbar", "banner")}">{inner}</div>')
 
     def footer(self) -> str:
         inner = f"{self.one('&copy; ', '', '© 2020 ')}{self.words(2, 25)}" + (f"<ul>{self.links(3)}</ul>" if self.chance(0.3) else "") + (f"<p>{self.words(3, 20)}</p>" if self.chance(0.3) else "")
@@ -333,7 +328,7 @@ class _Maker:
 
     def side(self) -> str:
         inner = f"<h{(h := self.one(2, 3, 4))}>{self.words(1, 4)}</h{h}>" + self.one(f"<ul>{self.links(4)}</ul>", f"<p>{self.words(4, 40)}</p>", f"<p>{self.words(4, 20)}</p><p>{self.words(4, 20)}</p>")
-        return self.one(f"<aside{self.attr('sidebar', 'related', 'x')}>{inner}</aside>", f'<div class="{self.one("sidebar", "related", "widget", "side", "recommended", "popular", "tags")}">{inner}</div>')
+        return self.one(f"<aside{self.attr('sidebar', 'related', 'x')}>{inner}</aside>", f"<aside>{inner}</aside>", f'<div class="{self.one("sidebar", "related", "widget", "side", "recommended", "popular", "tags")}">{inner}</div>')
 
     def notice(self) -> str:
         inner = self.one(self.words(4, 40), f"<p>{self.words(4, 40)}</p><button>{self.words(1, 2)}</button>")
@@ -387,6 +382,8 @@ class _Maker:
         )
 
     def page(self) -> str:
+        if self.chance(0.12):  # an article and nothing else
+            return f"<html><body>{self.one(self.article, lambda: f'<{(t := self.one("article", "main"))}>{self.main_block()}</{t}>')()}</body></html>"
         above = [m() for m, p in ((self.header, 0.5), (self.nav, 0.8), (self.notice, 0.3), (self.ad, 0.5), (self.form, 0.2), (self.side, 0.15)) if self.chance(p)]
         below = [m() for m, p in ((self.share, 0.2), (self.ad, 0.3), (self.comments, 0.45), (self.side, 0.4), (self.form, 0.2), (self.notice, 0.2), (self.nav, 0.15)) if self.chance(p)]
         above, below = [self.r.sample(x, len(x)) for x in (above, below)]
