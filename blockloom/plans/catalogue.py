@@ -448,7 +448,7 @@ def oracle_sql() -> dict[str, str]:
         **{f"order_{w}": f"{_blocks_sql('R1', o)} SELECT block_id, pos, v FROM b" for w, o in (("rowmajor", Ordering.ROW_MAJOR), ("zigzag", Ordering.ZIGZAG), ("morton", Ordering.MORTON))},
         "order_inverse": f"SELECT pos::INT AS pos, (CASE WHEN pos // 16 % 2 = 0 THEN pos % 16 ELSE 15 - pos % 16 END)::INT AS zigzag_x, (pos // 16)::INT AS zigzag_y, ({bits(0)})::INT AS morton_x, ({bits(1)})::INT AS morton_y FROM (SELECT unnest(range(256)) AS pos)",
         "block_metadata": f"{_blocks_sql('R3')} SELECT block_id, count(*) AS n, min(v) AS least, max(v) AS greatest, sum(v)::BIGINT AS sum64, ({_WRAP.format('sum(v)::BIGINT')})::INT AS sum32, bit_xor(v) AS \"xor\" FROM b GROUP BY block_id",
-        "visit_order": f"WITH h AS ({_height_sql('R1')}) SELECT block_id, block_id AS linear_key, {_DRAW.format('block_id', '1', 2147483647)} AS random_key FROM ({grid})",
+        "visit_order": f"WITH h AS ({_height_sql('R1')}) SELECT block_id, block_id AS linear_key, {_DRAW.format('(' + _DRAW.format('block_id', '1', 2147483647) + ') * 48271', '1', 2147483647)} AS random_key FROM ({grid})",
         "running_stats": f"{_blocks_sql('R2')} SELECT block_id, count(*) AS n, round(avg(v), 6) AS mean, round(var_pop(v), 6) AS variance, sum(v)::BIGINT AS total FROM b GROUP BY block_id",
         "enc_for": f"{_blocks_sql('R1', Ordering.MORTON)} SELECT block_id, 0 AS pos, min(v)::BIGINT AS enc FROM b GROUP BY block_id UNION ALL SELECT block_id, pos + 1, 2 * (v - min(v) OVER (PARTITION BY block_id))::BIGINT FROM b",
         "enc_rle": f"{runs} SELECT * FROM e",
