@@ -34,6 +34,8 @@ SEQUENCE, END = 4096, 1
 SHARD, ISLANDS, ROUNDS = 1024, 3, 2
 #: Genomes of an island, generations of a round, generations without progress that end it.
 POPULATION, GENERATIONS, PATIENCE = 6, 12, 5
+#: Shards that one task evolves.
+SHARDS_OF_A_TASK = 16
 #: Bins of a shard that are open to packing with those of other shards: the least filled, at most so many.
 OPEN_BINS = 4
 #: Words that a worker remembers the ids of.
@@ -288,11 +290,13 @@ def _round(number: int, size: int):
 _STATE = "shard long, island int, lengths array<int>, elite binary, bins int, least int"
 
 
-def _evolved(items: DataFrame, size: int, islands: int, rounds: int) -> DataFrame:
+def _evolved(items: DataFrame, shards: int, size: int, islands: int, rounds: int) -> DataFrame:
     """items: shard, list (sorted structs with length). Adds elite, the best genome of all islands and rounds."""
     lengths = items.select("shard", F.transform("list", lambda x: x["length"].cast("int")).alias("lengths"))
     first = lengths.select("shard", F.lit(0).alias("island"), "lengths", F.lit(None).cast("array<binary>").alias("elites"))
-    state = cut(first.repartition("shard").mapInArrow(_round(0, size), _STATE))
+    # Rows are small and slow: tasks are counted by shards, not by bytes.
+    tasks = -(-shards // SHARDS_OF_A_TASK)
+    state = cut(first.repartition(tasks, "shard").mapInArrow(_round(0, size), _STATE))
     done = state.filter("bins <= least").select("shard", "elite")
     open_ = state.filter("bins > least")
     if rounds < 2 or open_.isEmpty():
@@ -303,7 +307,7 @@ def _evolved(items: DataFrame, size: int, islands: int, rounds: int) -> DataFram
         # An island starts from its own elite and that of the island before it; the first takes the last one's.
         before = F.coalesce(F.lag("elite").over(ring), F.last("elite").over(ring.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
         moved = open_.select("shard", "island", "lengths", F.array("elite", before).alias("elites"))
-        open_ = cut(moved.repartition("shard", "island").mapInArrow(_round(number, size), _STATE))
+        open_ = cut(moved.repartition(islands * tasks, "shard", "island").mapInArrow(_round(number, size), _STATE))
     best = open_.groupBy("shard").agg(F.min_by("elite", F.struct("bins", "island")).alias("elite"))
     return items.join(done.unionByName(best), "shard")
 
@@ -357,7 +361,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SEQUENCE, shard: int = SH
         dealt = rest.withColumn("shard", F.pmod(F.xxhash64("shard_key", "ids_crc32", F.lit(level)), F.lit(n)))
         items = dealt.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct((-F.col("length")).alias("a"), item.alias("x")))).alias("list"))
         items = cut(items.select("shard", F.transform("list", lambda p: p["x"]).alias("list")))
-        placed = cut(_evolved(items, size, islands, rounds).mapInArrow(_placed(kind, size), shape))
+        placed = cut(_evolved(items, n, size, islands, rounds).mapInArrow(_placed(kind, size), shape))
         if n == 1:
             packed.append(placed.drop("open").withColumn("level", F.lit(level)))
             break
