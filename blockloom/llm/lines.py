@@ -59,8 +59,9 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame
 
     Lines are those between ``\\n``; blank ones are never boilerplate and stay. A null text stays null with
     no lines; a null source is one site. Rows that agree in doc_id and text are treated alike: if they hold
-    a line's first place, each keeps it. Other columns pass through untouched.
+    a line's first place, each keeps it. Other columns pass through; columns named as the added ones are replaced.
     """
+    docs = docs.drop("n_lines", "n_removed")
     lines = lines_of(docs)
     bad = cut(boilerplate(lines, min_sites)).withColumnsRenamed({"h1": "b1", "h2": "b2"})
     hit = lines.join(bad, (F.col("h1") == F.col("b1")) & (F.col("h2") == F.col("b2")))

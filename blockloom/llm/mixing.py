@@ -75,22 +75,24 @@ def thresholds(docs: DataFrame, budgets: DataFrame) -> DataFrame:
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
     """The mix of ``docs`` (doc_id, text, source; further columns are kept) as copies of each document.
 
-    Adds size (words), source_size, target (double) and copies (0, 1 or 2 with the defaults). A source whose
+    Adds size (words), source_size, target (double) and copies (0, 1 or 2 with the defaults), in place of columns
+    of these names. A source whose
     target is r times its size gets floor(r) copies of every document, and one more of those whose hash is
     at most the source's threshold. Null texts have size 0, null sources are one source, rows with one id
     share their hash and so their fate. An empty table stays empty. Reruns give the same rows.
     """
-    sized = docs.select("*", F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("size"), document_hash(F.col("doc_id")).alias("h"))
-    small = cut(sized.select("source", "size", "h"))
+    docs = docs.drop("size", "source_size", "target", "copies")
+    sized = docs.select("*", F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("size"), document_hash(F.col("doc_id")).alias("__h"))
+    small = cut(sized.select("source", "size", F.col("__h").alias("h")))
     goal = cut(targets(small.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
     base = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     goal = goal.withColumn("base", base).withColumn("extra", F.col("target") - F.col("base") * F.col("source_size"))
     limit = thresholds(small, goal.select("source", "extra"))
     plan = cut(goal.join(limit.withColumnRenamed("source", "s"), goal["source"].eqNullSafe(F.col("s")), "left").drop("s"))
-    plan = plan.select(F.col("source").alias("__source"), "source_size", "target", "base", F.coalesce("threshold", F.lit(-1)).alias("__t"))
-    more = F.when((F.col("base") < most) & (F.col("h") <= F.col("__t")), F.lit(1)).otherwise(F.lit(0))
-    out = sized.join(plan, sized["source"].eqNullSafe(F.col("__source")), "left").withColumn("copies", (F.col("base") + more).cast("long"))
-    return out.drop("__source", "__t", "base", "h")
+    plan = plan.select(F.col("source").alias("__source"), "source_size", "target", F.col("base").alias("__base"), F.coalesce("threshold", F.lit(-1)).alias("__t"))
+    more = F.when((F.col("__base") < most) & (F.col("__h") <= F.col("__t")), F.lit(1)).otherwise(F.lit(0))
+    out = sized.join(plan, sized["source"].eqNullSafe(F.col("__source")), "left").withColumn("copies", (F.col("__base") + more).cast("long"))
+    return out.drop("__source", "__t", "__base", "__h")
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

@@ -135,7 +135,7 @@ def test_rules_on_odd_documents(odd_docs, no_docs):
 def test_rules_tell_good_from_bad(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     learned = rules.train(docs, labels.filter(~quality.held_out(labels.doc_id)))
-    both = rules.apply_rules(docs, learned).join(labels, "doc_id").filter(quality.held_out(labels.doc_id) & "not base_failed").collect()
+    both = rules.apply_rules(docs, learned).join(labels, "doc_id").filter(quality.held_out(labels.doc_id)).filter("not base_failed").collect()
     assert sum((r.quality == 1) == r.kept for r in both) >= 0.95 * len(both)
 
 
