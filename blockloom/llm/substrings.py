@@ -100,7 +100,7 @@ def _found(window: int, anchor: int):
 
 
 def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=3).compress
+    pack = zstandard.ZstdCompressor(level=9).compress
     for batch in batches:
         z = [pack((x or "").encode()) for x in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(z, pa.binary())], ["doc_id", "t", "z"])
@@ -266,8 +266,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         own = side.select(F.col("doc_id").alias("d"), F.col("t").alias("u"), column)
         return texts.join(own, texts["doc_id"].eqNullSafe(F.col("d")) & (texts["t"] == F.col("u")), how).select("doc_id", "t", "z", column)
 
-    rows = with_texts(lists, "list", "inner").dropDuplicates(["doc_id", "t"])
-    rows = rows.mapInArrow(_stretches(window), f"doc_id {kind}, t long, anchor long, start int, count int, words binary")
+    # Rows that repeat a document send its stretches again, which changes nothing: a place is never earlier than itself.
+    rows = with_texts(lists, "list", "inner").mapInArrow(_stretches(window), f"doc_id {kind}, t long, anchor long, start int, count int, words binary")
     ordered = rows.repartition("anchor").sortWithinPartitions("anchor", F.col("doc_id").asc_nulls_last(), "t", "start")
     shape = f"doc_id {kind}, t long, start int, count int"
     gone = ordered.mapInArrow(_marks_and(_trees(window, portion)), shape)
