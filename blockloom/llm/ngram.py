@@ -8,10 +8,10 @@ elements). Each pair that is left is verified once, by the whole texts.
 
 The order needs counts only to be good, not to be right: they come from a fixed table of hashed counters over
 all documents. Documents with equal sets are one class and are compared once. To keep large groups of copies
-from becoming all their pairs, the join has two rounds: each document is first compared with the least document
-of every group it is in; after the links so found are joined to components, only documents of different
-components are compared with each other. No link between components is lost: a pair inside one component
-cannot change any component.
+from becoming all their pairs, the join has two rounds: each document is first compared with the least of the
+documents that it shares a prefix n-gram with; after the links so found are joined to components, documents of
+one group are compared with each other where their components differ. No link between components is lost: a
+pair inside one component cannot change any component.
 """
 
 from __future__ import annotations
@@ -36,32 +36,33 @@ WORDS, PERCENT = 5, 80
 COUNTER_BITS, COUNTER_ROWS, SIGNATURE = 20, 64, 256
 
 
-def shingle_sets(text: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-gram hashes of all texts in a row, each text's ascending, and their numbers.
-
-    A-Z are lower-cased. A text of fewer than k words, but one at least, has its whole sequence as one n-gram.
-    """
+def _all_shingles(text: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """N-gram hashes of all texts, repeats included, in order of the texts, and their numbers."""
     flat, counts = split_words(pc.ascii_lower(pc.fill_null(text, "")))
     h = word_hashes(flat)
     starts = window_starts(counts, k)
-    owner = np.repeat(np.arange(len(counts)), counts)
-    got, texts = [window_hashes(h, k)[starts]] if len(starts) else [], [owner[starts]] if len(starts) else []
-    first = np.cumsum(counts) - counts
+    number = np.maximum(counts - k + 1, np.minimum(counts, 1))
+    out = np.empty(int(number.sum()), np.uint64)
+    long = np.repeat(counts >= k, number)
+    out[long] = window_hashes(h, k)[starts] if len(starts) else 0
+    first, at = np.cumsum(counts) - counts, np.cumsum(number) - number
     for n in range(1, k):
         own = np.flatnonzero(counts == n)
-        if len(own):
-            x = np.full(len(own), n, np.uint64)
-            for i in range(n):
-                x = mix(x * np.uint64(31) + h[first[own] + i])
-            got.append(x)
-            texts.append(own)
-    if not got:
-        return np.empty(0, np.uint64), np.zeros(len(counts), np.int64)
-    x, texts = np.concatenate(got), np.concatenate(texts)
-    order = np.lexsort((x, texts))
-    x, texts = x[order], texts[order]
-    new = np.concatenate([[True], (x[1:] != x[:-1]) | (texts[1:] != texts[:-1])])
-    return x[new], np.bincount(texts[new], minlength=len(counts)).astype(np.int64)
+        x = np.full(len(own), n, np.uint64)
+        for i in range(n):
+            x = mix(x * np.uint64(31) + h[first[own] + i])
+        out[at[own]] = x
+    return out, number
+
+
+def shingle_sets(text: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-gram hashes of all texts in a row, each text's ascending, and their numbers.
+
+    A-Z are lower-cased. A text of fewer than k words, but one at least, has its whole sequence as one n-gram.
+    """
+    x, number = _all_shingles(text, k)
+    sets = [np.unique(part) for part in np.split(x, np.cumsum(number)[:-1])] if len(number) else []
+    return np.concatenate(sets) if sets else x, np.array([len(s) for s in sets], np.int64)
 
 
 def least_overlap(n, m, percent: int):
@@ -75,7 +76,7 @@ def _count(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells, np.int64)
         for batch in chunks(batches, "text"):
-            got, _ = shingle_sets(batch.column("text"), k)
+            got = _all_shingles(batch.column("text"), k)[0]
             total += np.bincount((got & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
         part = TaskContext.get().partitionId() % 256
         rows = [zlib.compress(x.tobytes(), 1) for x in np.split(total, COUNTER_ROWS)]
@@ -110,11 +111,11 @@ def _describe(k: int, percent: int, shared):
             f1, f2 = (np.diff(s[np.concatenate([[0], ends])]).view(np.int64) for s in f)
             parity = np.bincount(owner * SIGNATURE + (x >> np.uint64(56)).astype(np.int64), minlength=len(n) * SIGNATURE) & 1
             bits = np.packbits(parity.astype(np.uint8)).view(np.int64).reshape(len(n), SIGNATURE // 64)
-            order = np.lexsort((x, cells[(x & np.uint64(len(cells) - 1)).astype(np.int64)], owner))
             want = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
-            rank = np.arange(len(x)) - np.repeat(ends - n, n)
-            first = rank < np.repeat(want, n)
-            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(want)]).astype(np.int32)), pa.array(x[order][first].view(np.int64)))
+            count = cells[(x & np.uint64(len(cells) - 1)).astype(np.int64)]
+            first = [part[np.argsort(c, kind="stable")[:w]] for part, c, w in zip(np.split(x, ends[:-1]), np.split(count, ends[:-1]), want.tolist(), strict=True)]
+            first = np.concatenate(first) if first else x
+            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(want)]).astype(np.int32)), pa.array(first.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *[pa.array(v) for v in (n, f1, f2)], *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(bits.shape[1])], prefix],
                 ["doc_id", "n", "f1", "f2", "s0", "s1", "s2", "s3", "prefix"],
@@ -198,21 +199,23 @@ def similar(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFram
     held = heads.select(F.col("doc_id").alias("d"), F.col("n"), F.posexplode("prefix").alias("pos", "gram"))
     several = cut(held.groupBy("gram").agg(F.min("d").alias("lead"), F.max("d").alias("last")).filter("lead <> last").select("gram", "lead"))
     held = cut(held.join(several, "gram").select("gram", "d", "lead", "n", "pos"))
-    links = _verified(held.filter("d <> lead").select(F.col("lead").alias("a"), F.col("d").alias("b")).distinct(), heads, docs, k, percent)
+    # First round: each document with the least of all that it shares an n-gram with.
+    near = held.filter("d <> lead").groupBy("d").agg(F.min("lead").alias("lead"))
+    links = _verified(near.select(F.col("lead").alias("a"), F.col("d").alias("b")), heads, docs, k, percent)
     found = cut(components(links))
 
     # Second round: pairs of one group whose components differ.
-    own = held.join(found.select(F.col("node").alias("d"), "component"), "d", "left").withColumn("component", F.coalesce("component", "d"))
-    own = cut(own.select("gram", "d", "n", "pos", "component", (F.col("d") == F.col("lead")).alias("led")))
-    split = cut(own.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo <> hi and c > 2").select("gram"))
+    side = ["s0", "s1", "s2", "s3"]
+    own = heads.select(F.col("doc_id").alias("d"), *side).join(found.select(F.col("node").alias("d"), "component"), "d", "left")
+    own = held.select("gram", "d", "n", "pos").join(own, "d").withColumn("component", F.coalesce("component", "d"))
+    split = cut(own.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("gram"))
     own = cut(own.join(split, "gram", "left_semi"))
-    x, y = (own.select("gram", *[F.col(c).alias(p + c) for c in ("d", "n", "pos", "component", "led")]) for p in ("x", "y"))
-    most = F.least("xpos", "ypos") + 1 + F.least(F.col("xn") - F.col("xpos"), F.col("yn") - F.col("ypos")) - 1
+    x, y = (own.select("gram", *[F.col(c).alias(p + c) for c in ("d", "n", "pos", "component", *side)]) for p in ("x", "y"))
+    most = F.least("xpos", "ypos") + F.least(F.col("xn") - F.col("xpos"), F.col("yn") - F.col("ypos"))
     fit = (
-        (F.col("xd") < F.col("yd")) & (F.col("xcomponent") != F.col("ycomponent")) & ~F.col("xled")
-        & (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")) & (most * (100 + percent) >= percent * (F.col("xn") + F.col("yn")))
+        (F.col("xd") < F.col("yd")) & (F.col("xcomponent") != F.col("ycomponent")) & _small_difference("x", "y", percent)
+        & (most * (100 + percent) >= percent * (F.col("xn") + F.col("yn")))
     )
-    # What the first round compared needs no second look: pairs with a group's least document.
     rest = x.join(y, "gram").filter(fit).select(F.col("xd").alias("a"), F.col("yd").alias("b")).distinct()
     more = _verified(rest, heads, docs, k, percent)
 
