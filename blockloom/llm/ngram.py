@@ -227,3 +227,28 @@ def similar(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFram
 def op10_ngram(spark, sf_dir: str) -> DataFrame:
     """Word triples at 90 percent."""
     return similar(table(spark, sf_dir, "documents"), 3, 90)
+
+
+OP10_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, gram FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(len(w) - 2), lambda i: w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])
+                               WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS gram FROM d)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g AS x JOIN g AS y USING (gram) WHERE x.doc_id < y.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r(node, reached) AS (
+  SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.reached FROM r JOIN e ON e.a = r.node
+), k AS (
+  SELECT node, min(reached) AS component FROM r GROUP BY node
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(k.component, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k ON k.node = d.doc_id
+"""

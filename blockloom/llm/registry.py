@@ -25,4 +25,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_urls": urls.OP1_SQL,
         "op3_mixing": mixing.OP3_SQL,
         "op6_lines": lines.OP6_SQL,
+        "op8_substrings": substrings.OP8_SQL,
+        "op10_ngram": ngram.OP10_SQL,
     }

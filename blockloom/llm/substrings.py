@@ -299,3 +299,22 @@ def _marks_and(trees):
 def op8_substrings(spark, sf_dir: str) -> DataFrame:
     left = remove_repeats(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, i, array_to_string(w[i + 1:i + 20], ' ') AS t FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 19, 0))) AS i FROM d)
+), f AS (
+  SELECT t, min(struct_pack(doc_id, i)) AS first FROM s GROUP BY t
+), c AS (
+  SELECT DISTINCT doc_id, i + k AS j FROM (SELECT s.doc_id, s.i, unnest(range(20)) AS k FROM s JOIN f USING (t) WHERE struct_pack(s.doc_id, s.i) <> f.first)
+), x AS (
+  SELECT doc_id, unnest(range(len(w))) AS j, unnest(w) AS word FROM d
+), y AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS kept FROM x ANTI JOIN c USING (doc_id, j) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(y.n, 0))::BIGINT AS n_removed, sha256(coalesce(y.kept, '')) AS kept_sha256
+FROM d LEFT JOIN y USING (doc_id)
+"""
