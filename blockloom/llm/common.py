@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -45,6 +46,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A checkpointed frame of narrow rows, to be broadcast if it has at most so many; else joins shuffle it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again."""
     path = f"{shared_folder(df.sparkSession)}/blockloom-{uuid.uuid4().hex}"

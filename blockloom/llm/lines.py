@@ -7,7 +7,8 @@ boilerplate line the first occurrence in the corpus stays, so no content is lost
 copied from site to site; every other occurrence goes.
 
 Only DataFrame operations are used. A line that half of all documents hold meets in partial aggregates
-before the shuffle; joins on line hashes are plain equi-joins, whose hot keys adaptive execution splits.
+before the shuffle. Joins on line hashes broadcast the few lines in question where their count is checked to be
+small, so no line is shuffled for them; else they are plain equi-joins, whose hot keys adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import broadcast_if_small, cut, table
 
 #: Sites from which on a line is boilerplate.
 MIN_SITES = 10
@@ -44,11 +45,11 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     # A line on one site needs no sketch; this leaves the few lines that are on several.
     several = lines.groupBy("h1", "h2").agg(F.min("site").alias("lo"), F.max("site").alias("hi"), F.count(F.lit(1)).alias("n"), F.min(first).alias("first"))
     several = cut(several.filter((F.col("lo") != F.col("hi")) & (F.col("n") >= min_sites)).select("h1", "h2", "first"))
-    held = lines.join(several.select("h1", "h2"), ["h1", "h2"], "left_semi")
+    held = lines.join(broadcast_if_small(several.select("h1", "h2")), ["h1", "h2"], "left_semi")
     spread = held.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_REGISTERS))).alias("sites"))
     spread = cut(spread.filter(F.col("sites") * NEAR >= min_sites))
-    near = spread.filter(F.col("sites") < min_sites * NEAR).select("h1", "h2")
-    exact = held.join(near, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.count_distinct("site").alias("sites"))
+    near = broadcast_if_small(spread.filter(F.col("sites") < min_sites * NEAR).select("h1", "h2"))
+    exact = lines.join(near, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.count_distinct("site").alias("sites"))
     sure = spread.filter(F.col("sites") >= min_sites * NEAR).select("h1", "h2")
     chosen = sure.unionByName(exact.filter(F.col("sites") >= min_sites).select("h1", "h2"))
     return several.join(chosen, ["h1", "h2"], "left_semi")
@@ -63,7 +64,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame
     """
     docs = docs.drop("n_lines", "n_removed")
     lines = lines_of(docs)
-    bad = cut(boilerplate(lines, min_sites)).withColumnsRenamed({"h1": "b1", "h2": "b2"})
+    bad = broadcast_if_small(cut(boilerplate(lines, min_sites)).withColumnsRenamed({"h1": "b1", "h2": "b2"}))
     hit = lines.join(bad, (F.col("h1") == F.col("b1")) & (F.col("h2") == F.col("b2")))
     kept = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.pos") == F.col("pos")) & (F.col("first.t") == F.col("t"))
     gone = hit.filter(~kept).groupBy(F.col("doc_id").alias("__id"), F.col("t").alias("__t")).agg(F.collect_set("pos").alias("__gone"))
