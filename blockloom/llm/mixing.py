@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table
+from .common import WORD, broadcast_if_small, cut, table
 
 #: Bits of the hash that each level of the histogram reads; 5 levels read all 60.
 LEVEL_BITS, LEVELS = 12, 5
@@ -58,7 +58,7 @@ def thresholds(docs: DataFrame, budgets: DataFrame) -> DataFrame:
     found = budgets.select("source", "extra", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"))
     for level in range(LEVELS):
         left, last = LEVEL_BITS * (LEVELS - 1 - level), level == LEVELS - 1
-        state = found.withColumnRenamed("source", "s")
+        state = broadcast_if_small(found.withColumnRenamed("source", "s"))
         inside = docs.join(state, docs["source"].eqNullSafe(F.col("s")) & (F.shiftright("h", left + LEVEL_BITS) == F.col("prefix")))
         sums = inside.groupBy("source", "extra", "prefix", "below", F.shiftright("h", left).alias("bucket")).agg(F.sum("size").alias("words"))
         run = W.partitionBy("source").orderBy("bucket")
@@ -91,6 +91,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tu
     plan = cut(goal.join(limit.withColumnRenamed("source", "s"), goal["source"].eqNullSafe(F.col("s")), "left").drop("s"))
     plan = plan.select(F.col("source").alias("__source"), "source_size", "target", F.col("base").alias("__base"), F.coalesce("threshold", F.lit(-1)).alias("__t"))
     more = F.when((F.col("__base") < most) & (F.col("__h") <= F.col("__t")), F.lit(1)).otherwise(F.lit(0))
+    # A row for each source: broadcast where they are checked to be few, so that no text is shuffled.
+    plan = broadcast_if_small(plan)
     out = sized.join(plan, sized["source"].eqNullSafe(F.col("__source")), "left").withColumn("copies", (F.col("__base") + more).cast("long"))
     return out.drop("__source", "__t", "__base", "__h")
 
