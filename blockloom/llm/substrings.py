@@ -262,9 +262,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     lists = found.groupBy("doc_id", "t").agg(F.collect_list(F.struct("anchor", "start", "count", "found")).alias("list"))
     texts = keyed.mapInArrow(_compressed, f"doc_id {kind}, t long, z binary")
 
+    # Null-safe on both keys: so no filter is put before one of the two joins, and both read one exchange of the texts.
     def with_texts(side: DataFrame, column: str, how: str) -> DataFrame:
         own = side.select(F.col("doc_id").alias("d"), F.col("t").alias("u"), column)
-        return texts.join(own, texts["doc_id"].eqNullSafe(F.col("d")) & (texts["t"] == F.col("u")), how).select("doc_id", "t", "z", column)
+        return texts.join(own, texts["doc_id"].eqNullSafe(F.col("d")) & texts["t"].eqNullSafe(F.col("u")), how).select("doc_id", "t", "z", column)
 
     # Rows that repeat a document send its stretches again, which changes nothing: a place is never earlier than itself.
     rows = with_texts(lists, "list", "inner").mapInArrow(_stretches(window), f"doc_id {kind}, t long, anchor long, start int, count int, words binary")
