@@ -283,7 +283,7 @@ def _mandatory(spark, sf_dir):
 
 
 def _front(spark, sf_dir):
-    parts = _read(spark, sf_dir, "part").filter("p_partkey < 300").select("p_partkey", "p_size", F.floor("p_retailprice").cast("long").alias("price"))
+    parts = _read(spark, sf_dir, "part").select("p_partkey", "p_size", F.floor("p_retailprice").cast("long").alias("price"))
     return planner.pareto_front(parts, "p_partkey", ["p_size", "price"])
 
 

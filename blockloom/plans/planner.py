@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Codecs that every list has, as controls.
@@ -41,11 +42,19 @@ def jobs(pareto: DataFrame, tiffs: list[str], transforms: list[str], columns: li
 
 
 def pareto_front(measured: DataFrame, key: str, costs: list[str]) -> DataFrame:
-    """Rows of ``measured`` that no other row beats: as good in every cost and better in one.
+    """Rows of ``measured`` that no other row beats: as good in every cost and better in one. Null costs have no place.
 
-    The comparison needs all rows of one key pair by pair only among rows that are least in some combination;
-    rows with equal costs are first made one, which is all there is of a table of codecs.
+    Of two costs, only the least second cost for each first one can be on the front, and it is if no smaller first
+    cost has one as low: a running minimum, taken first within parts of any kind and then over what they leave.
+    Any other number of costs is compared pair by pair, among distinct rows.
     """
+    if len(costs) == 2:
+        one, two = costs
+        left = measured.dropna(subset=costs).groupBy(one).agg(F.min(two).alias(two)).withColumn("__part", F.spark_partition_id())
+        for own in (W.partitionBy("__part"), W.partitionBy()):
+            lower = F.min(two).over(own.orderBy(one).rowsBetween(W.unboundedPreceding, -1))
+            left = left.withColumn("__lower", lower).filter(F.col("__lower").isNull() | (F.col(two) < F.col("__lower"))).drop("__lower")
+        return measured.join(left.drop("__part"), costs, "left_semi").select(key, *costs)
     distinct = measured.groupBy(*costs).agg(F.count(F.lit(1)).alias("__n"))
     a, b = distinct.alias("a"), distinct.alias("b")
     no_worse = reduce(lambda x, y: x & y, [F.col(f"b.{c}") <= F.col(f"a.{c}") for c in costs])

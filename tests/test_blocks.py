@@ -9,7 +9,7 @@ from blockloom.functions.order import cell, position
 from blockloom.functions.params import Access, Ordering, Pattern, Transform
 from blockloom.operators import access, encode, tiling
 from blockloom.operators.transform import array_transform, transform
-from blockloom.plans import pipeline, planner
+from blockloom.plans import catalogue, pipeline, planner
 from blockloom.sources import raster
 from blockloom.streaming import blocks as stream
 
@@ -213,6 +213,18 @@ def test_planner(spark, tmp_path):
     assert sorted(r.codec for r in planner.pareto_front(costs, "codec", ["size", "time"]).collect()) == ["a", "b", "d", "e"]
 
 
+def test_front_of_all_parts_against_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(i, int(a), float(b)) for i, (a, b) in enumerate(zip(rng.integers(20, 60, 900), rng.integers(500, 990, 900)))]
+    rows += [(900, 19, 700.5), (901, 70, 400.0), (902, 70, 400.9), (903, 71, 400.0)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int, p_retailprice double").repartition(5).write.parquet(str(tmp_path / "part.parquet"))
+    cost = [(k, a, int(b)) for k, a, b in rows]
+    want = sorted(x for x in cost if not any(y[1] <= x[1] and y[2] <= x[2] and y[1:] != x[1:] for y in cost))
+    got = catalogue.queries()["pareto_front"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == want and max(want)[0] == 902
+    assert "NestedLoop" not in got._jdf.queryExecution().toString()
+
+
 def test_streams_give_what_batches_give(spark, tmp_path):
     rows = pipeline.as_arrays(tiling.blocks(small_raster(spark), 8))
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
