@@ -6,7 +6,8 @@ well-filled bins of one parent into the other, drops the other's bins that hold
 puts the pieces thereby displaced back by best fit. A shard evolves as several islands, each in a task of its
 own where others run beside it; between rounds each island's elite migrates to the next. Shards that reach the
 least possible number of bins stop at once. The least-filled bins of all shards are then dissolved and packed
-again with those of other shards, level by level, until one shard is left.
+again with those of other shards, level by level, until one shard is left. Shards are dealt so that they hold
+several times the bins that may stay open, however short the pieces are, so each level has far fewer shards.
 
 Genomes, not documents, travel between rounds: an island is one row with its lengths and its elite.
 """
@@ -38,6 +39,8 @@ POPULATION, GENERATIONS, PATIENCE = 6, 12, 5
 SHARDS_OF_A_TASK = 16
 #: Bins of a shard that are open to packing with those of other shards: the least filled, at most so many.
 OPEN_BINS = 4
+#: Bins that a shard's tokens fill at least, on average, where there are several shards.
+LEAST_BINS = 4 * OPEN_BINS
 #: Words that a worker remembers the ids of.
 MEMORY = 1_500_000
 
@@ -356,7 +359,9 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SEQUENCE, shard: int = SH
     packed.append(full.select("*", F.lit(-1).alias("level")))
     rest = rest.filter(F.col("length") < size)
     while True:
-        n = max(1, -(-rest.count() // shard))
+        # The rest of n shards is less than n * OPEN_BINS sequences, so the next level has at most a quarter of them.
+        left = rest.agg(F.count(F.lit(1)).alias("pieces"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens")).first()
+        n = max(1, min(-(-left["pieces"] // shard), left["tokens"] // (LEAST_BINS * size)))
         item = F.struct("doc_id", "piece", "start", "length", "ids_crc32", "shard_key")
         dealt = rest.withColumn("shard", F.pmod(F.xxhash64("shard_key", "ids_crc32", F.lit(level)), F.lit(n)))
         items = dealt.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct((-F.col("length")).alias("a"), item.alias("x")))).alias("list"))

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from blockloom.llm import lines, mixing, ngram, packing, quality, rules, stats, substrings
 
@@ -256,6 +257,18 @@ def test_packing_places_every_piece_once(odd_docs, no_docs):
     assert packing.pack(no_docs, vocabulary(), size).collect() == []
 
 
+def test_packing_of_very_short_texts_ends(spark):
+    for text, n, size, shard in ((None, 5000, packing.SEQUENCE, packing.SHARD), ("x", 4000, 64, 8)):
+        docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(text).cast("string").alias("text"))
+        got = packing.pack(docs, vocabulary(), size, shard=shard).collect()
+        assert sorted(r.doc_id for r in got) == list(range(n))
+        loads = Counter()
+        for r in got:
+            loads[r.sequence_id] += r.length
+        tokens = sum(loads.values())
+        assert tokens == n * (2 if text else 1) and max(loads.values()) <= size and len(loads) <= -(-tokens // size) + 1
+
+
 def test_genetic_steps_keep_every_piece():
     rng = np.random.default_rng(4)
     lengths = rng.integers(1, 100, 300).tolist()
