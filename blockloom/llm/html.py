@@ -30,18 +30,23 @@ _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z",
     re.S,
 )
-_RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "noembed", "noframes", "xmp", "template", "svg", "math", "select", "datalist", "object", "audio", "video", "canvas"}
+#: Elements whose content HTML reads as raw text; that of xmp is shown.
+_RAW = {"script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp"}
+#: Elements whose text is mostly not shown: a feature of their blocks, by which the chain can reject them.
+_FALLBACK = {"noscript", "template", "svg", "select", "datalist", "audio", "video", "canvas"}
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I) for t in _RAW}
+#: These count only up to an end tag of their own: one that is not closed before the next of its kind holds nothing.
+_NEXT = {t: re.compile(rf"<(/?){t}(?=[\s/>])", re.I) for t in (*_FALLBACK, "math", "object")}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = {
     "html", "head", "body", "address", "article", "aside", "blockquote", "button", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
-    "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", *_RAW,
+    "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "object", *_FALLBACK, *_RAW,
 }
 #: An opening tag also closes the nearest of these that is open, unless one of the second set is nearer.
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
 }
-_ENDS_P = _BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "button", "html", "head", "body", *_RAW}
+_ENDS_P = _BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "button", "html", "head", "body", "object", *_FALLBACK, *_RAW}
 #: Words in class, id, role and similar attributes that hint at what an element is for.
 _HINTS = {
     "h:main": "article content entry main post story body text blog page".split(),
@@ -79,7 +84,7 @@ def _own_features(tag: str, attributes: str) -> frozenset:
     """Features of an element by its tag and attributes."""
     key = (tag, attributes)
     if (found := _OWN.get(key)) is None:
-        names = {f"in:{tag}"} if tag in _TOLD else set()
+        names = {f"in:{tag}"} if tag in _TOLD else {"in:fallback"} if tag in _FALLBACK else set()
         if attributes:
             for m in _ATTRIBUTE.finditer(attributes):
                 value = m[2] or m[3] or m[4] or ""
@@ -145,9 +150,19 @@ def blocks(html: str) -> list[Block]:
             else:
                 close({tag}, _BLOCK)
             continue
-        if tag in _RAW:
+        closed = (m[3] or m[6] or "").rstrip().endswith("/")
+        foreign = (closed or tag in _RAW) and (tag in ("svg", "math") or any(t in ("svg", "math") for t, _, _ in stack))
+        if closed and foreign:
+            if tag in _BLOCK:
+                flush()
+            continue
+        if tag in _RAW and (not foreign or tag in ("script", "style")):
             flush()
-            at = _RAW_END[tag].search(html, at).end()
+            stop = _RAW_END[tag].search(html, at)
+            if tag == "xmp":
+                text.append(html[at : stop.start()].replace("&", "&amp;"))
+                flush()
+            at = stop.end()
             continue
         if tag == "br":
             text.append(" ")
@@ -159,7 +174,7 @@ def blocks(html: str) -> list[Block]:
                 close({"p", "h1", "h2", "h3", "h4", "h5", "h6"} if tag[0] == "h" and tag[1:].isdigit() else {"p"}, _BLOCK - {"p", "h1", "h2", "h3", "h4", "h5", "h6"})
             if tag in _CLOSES:
                 close(*_CLOSES[tag])
-        if tag not in _VOID:
+        if tag not in _VOID and not (tag in _NEXT and ((after := _NEXT[tag].search(html, at)) is None or not after[1])):
             own = _own_features(tag, attributes)
             stack.append((tag, stack[-1][1] | own if own else stack[-1][1], block))
             links += tag == "a"
@@ -390,13 +405,23 @@ class _Maker:
         main = self.article() if self.chance(0.97) else ""
         return f"<html><head><title>{self.words(1, 5)}</title></head><body>{''.join(above)}{main}{''.join(below)}{self.footer() if self.chance(0.85) else ''}</body></html>"
 
+    def with_fallback(self, page: str) -> str:
+        """The page, in some cases with an element of text that is not shown."""
+        if not self.chance(0.25):
+            return page
+        tag = self.one(*sorted(_FALLBACK))
+        inner = self.words(1, 20)
+        inner = {"select": f"<option>{inner}</option>", "svg": self.one(f"<title>{inner}</title><path d='M0' />", f"<text>{inner}</text>")}.get(tag) or self.one(inner, f"<p>{inner}</p>")
+        at = self.one(*[m.start() for m in re.finditer(r"<(?:p|h[1-6]|ul|div|main|article)[ >]", page)], page.index("</body>"))
+        return f"{page[:at]}<{tag}>{inner}</{tag}>{page[at:]}"
+
 
 def labelled_pages(n: int = PAGES, seed: int = 1) -> list[tuple[list[Block], list[bool]]]:
     """Blocks of made-up pages with their labels, the same for the same seed."""
-    maker = _Maker(seed)
+    maker, other = _Maker(seed), _Maker(-1 - seed)
     out = []
     for _ in range(n):
-        page = blocks(maker.page())
+        page = blocks(other.with_fallback(maker.page()))
         out.append(([Block(b.text.replace(_MARK, ""), b.around, b.tag, b.linked) for b in page], [_MARK in b.text for b in page]))
     return out
 

@@ -133,6 +133,20 @@ def test_main_text_of_a_page():
     assert html.main_text("<article><p>a < b and c > d, as said.</p></article>", chain) == "a < b and c > d, as said."
 
 
+def test_elements_that_are_not_raw_keep_the_page():
+    chain = html.fit(html.labelled_pages(200))
+    page = "<html><body><nav><ul><li><a href=/a>Home</a></li></ul></nav><article><p>This is the first text of it.</p>{}<p>This is the second text of it.</p><p>And the last one.</p></article><footer>&copy; us</footer></body></html>"
+    want = "This is the first text of it.\n{}This is the second text of it.\nAnd the last one."
+    for odd in ("<svg class=icon />", "<svg/>", "<svg><path d='M0'/><style/><title/></svg>", "<math />", *[f"<{t} id=x>" for t in ("svg", "math", "select", "object", "video", "audio", "canvas", "datalist", "noscript", "template")]):
+        assert html.main_text(page.format(odd), chain) == want.format(""), odd
+        assert html.main_text(page.format(odd + "<p>A text between them is this.</p>" + odd), chain) == want.format("A text between them is this.\n"), odd
+    for hidden in ("<svg><title>Icon</title></svg>", "<select><option>One</option></select>", "<video src=a>Your browser cannot play it.</video>", "<noscript>Turn it on.</noscript>"):
+        assert html.main_text(page.format(hidden), chain) == want.format(""), hidden
+    assert html.main_text(page.format("<p>Let <math><mi>x</mi><mo>&lt;</mo><mn>2</mn></math> be so.</p>"), chain) == want.format("Let x<2 be so.\n")
+    assert html.main_text(page.format("<object data=a><p>This stands for the object.</p></object>"), chain) == want.format("This stands for the object.\n")
+    assert html.main_text(page.format("<xmp>if a < b &amp; <p> c then.</xmp>"), chain) == want.format("if a < b &amp; <p> c then.\n")
+
+
 def test_pages_with_odd_columns(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "v", ""), (3, "w", "<p>" + "word " * 50_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' as text", "7 as n_chars")
