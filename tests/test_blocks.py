@@ -8,6 +8,7 @@ from blockloom.functions.expressions import bit_width, draw, unzigzag, varint_by
 from blockloom.functions.order import cell, position
 from blockloom.functions.params import Access, Ordering, Pattern, Transform
 from blockloom.operators import access, encode, tiling
+from blockloom.operators.codecs import registry
 from blockloom.operators.transform import array_transform, transform
 from blockloom.plans import catalogue, pipeline, planner
 from blockloom.sources import raster
@@ -225,6 +226,12 @@ def test_front_of_all_parts_against_brute_force(spark, tmp_path):
     assert "NestedLoop" not in got._jdf.queryExecution().toString()
 
 
+def test_every_cascade_of_the_pipeline_pool_has_a_row(spark):
+    found = catalogue.queries()["cascade_roundtrip"](spark, "/root/testdata/sf0.01").collect()
+    assert sorted(r.codec for r in found) == sorted(c.name for c in registry.pool("pipeline") if c.name.startswith("[+]_")) and len(found) == 216
+    assert all(r.blocks == r.ok > 0 for r in found)
+
+
 def test_streams_give_what_batches_give(spark, tmp_path):
     rows = pipeline.as_arrays(tiling.blocks(small_raster(spark), 8))
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
