@@ -177,14 +177,31 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percen
     return cut(both.select("a", "b", "za", "zb").mapInArrow(_verify(k, percent), f"a {kind}, b {kind}"))
 
 
+def node_of(docs: DataFrame) -> Column:
+    """What tells texts of ``docs`` apart: doc_id, or where rows repeat one with other texts, doc_id and the text's hash."""
+    t = F.xxhash64(F.coalesce("text", F.lit("")))
+    texts = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(t).alias("lo"), F.max(t).alias("hi"))
+    if texts.filter("lo <> hi").isEmpty():
+        return F.col("doc_id")
+    return F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", t.alias("t")))
+
+
 def similar(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
 
     Two documents link when 100 * common n-grams >= percent * all n-grams of both; component_id is the smallest
     doc_id that links reach, itself included. Null and blank texts have no n-grams and link with nothing. Rows
-    that repeat a doc_id are one node: the first of their texts by fingerprint stands for it. A null doc_id
+    that repeat a doc_id and its text are one node, those with other texts are nodes of their own. A null doc_id
     links with nothing and keeps a null component. Further columns are dropped; an empty table gives an empty one.
     """
+    found = linked(docs.select(node_of(docs).alias("doc_id"), "text"), k, percent)
+    if not dict(found.dtypes)["doc_id"].startswith("struct"):
+        return found
+    return found.select("doc_id.doc_id", "n_shingles", F.col("component_id.doc_id").alias("component_id"))
+
+
+def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """As similar(), of documents whose doc_id is a node by node_of(): equal ones have equal texts."""
     kind = dict(docs.dtypes)["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(counters(docs, k))  # a table of fixed size
     shape = f"doc_id {kind}, n long, f1 long, f2 long, s0 long, s1 long, s2 long, s3 long, prefix array<long>"

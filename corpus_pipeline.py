@@ -30,10 +30,12 @@ def no_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near-duplicates: five words, 80 percent."""
-    found = ngram.similar(docs)
+    """Keeps the smallest doc_id of each group of near-duplicates: five words, 80 percent. Texts that share an id count each."""
+    node = ngram.node_of(docs)
+    found = ngram.linked(docs.select(node.alias("doc_id"), "text"))
     keep = found.filter(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select(F.col("doc_id").alias("__id"))
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    own = docs.withColumn("__node", node)
+    kept = own.join(keep, own["__node"].eqNullSafe(keep["__id"]), "left_semi")
     # Rows that repeat an id and its text are copies, too.
     return kept.withColumn("__t", F.xxhash64("text")).dropDuplicates(["doc_id", "__t"]).select(*COLUMNS)
 

@@ -257,6 +257,19 @@ def test_packing_places_every_piece_once(odd_docs, no_docs):
     assert packing.pack(no_docs, vocabulary(), size).collect() == []
 
 
+def test_texts_that_share_an_id_link_each_on_its_own(spark):
+    import corpus_pipeline
+
+    one, two, alone = (" ".join(f"{c}{i}" for i in range(100)) for c in "abc")
+    rows = [(5, one), (5, two), (6, one + " end"), (7, two + " end"), (8, one + " end"), (3, two + " more"), (3, alone), (9, None), (None, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id) for r in ngram.similar(docs).collect())
+    assert got == Counter({(5, 5): 1, (6, 5): 1, (8, 5): 1, (5, 3): 1, (7, 3): 1, (3, 3): 2, (9, 9): 1, (None, None): 1})
+    whole = docs.selectExpr("*", "'en' as lang", "'s' as source", "length(text) as n_chars")
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, whole, "").collect()}
+    assert kept == {(5, one), (3, two + " more"), (3, alone), (9, None), (None, one)}
+
+
 def test_packing_of_very_short_texts_ends(spark):
     for text, n, size, shard in ((None, 5000, packing.SEQUENCE, packing.SHARD), ("x", 4000, 64, 8)):
         docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(text).cast("string").alias("text"))
