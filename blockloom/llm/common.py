@@ -46,18 +46,47 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """A checkpointed frame of narrow rows, to be broadcast if it has at most so many; else joins shuffle it."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int = 100_000, size: int = 8 << 20) -> DataFrame:
+    """A checkpointed frame, to be broadcast if it has at most so many rows and bytes; else joins shuffle it."""
+    wide = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    found = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(sum(wide, F.lit(16 * len(df.columns)))).alias("bytes")).first()
+    return F.broadcast(df) if found["n"] <= rows and (found["bytes"] or 0) <= size else df
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again."""
+    """``df`` written as Parquet to the shared folder and read again; ``discard`` deletes the files."""
     path = f"{shared_folder(df.sparkSession)}/blockloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a frame that stored() gave; nothing that still reads them may run later."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getName().startswith("blockloom-"):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
+    """doc_id, t (hash of the text), text and quality of documents with a label: those of at most ``limit`` ids, by their hashes.
+
+    Of several labels of an id the least counts, null ones do not. Rows that agree in id and text are one row, so
+    copies meet before and after the shuffle; ids with several texts can still give more rows than ``limit``.
+    """
+    marked = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    marked = F.broadcast(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))  # at most ``limit`` rows of two numbers
+    text = F.coalesce("text", F.lit(""))
+    both = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("t")).join(marked, "doc_id")
+    return both.groupBy("doc_id", "t").agg(F.first("text").alias("text"), F.first("quality").alias("quality"))
+
+
+def first_of(rows: DataFrame, limit: int) -> DataFrame:
+    """At most ``limit`` of the rows made from labelled(), the same in every run."""
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", "t").limit(limit)
+
+
 def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``limit`` bytes in ``column`` each; a longer row is a slice of its own."""
     for batch in batches:

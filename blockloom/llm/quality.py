@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, table, word_hashes
+from .common import chunks, first_of, labelled, table, word_hashes
 from .stats import statistics
 
 #: Labelled texts that a fit reads at most; those with the smallest id hashes are taken.
@@ -87,8 +87,8 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(dense, codes, counts)[0], -30, 30)))
 
 
-def fit(dense: np.ndarray, codes: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rank: int = RANK, rate: float = 0.02, decay: float = 2e-3, seed: int = 5) -> Machine:
-    """Fits the machine to 0/1 labels. Without labels it knows nothing and scores 1/2."""
+def fit(dense: np.ndarray, codes: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, rank: int = RANK, rate: float = 0.02, decay: float = 2e-3, seed: int = 5) -> Machine:
+    """Fits the machine to 0/1 labels; codes are as shut() gives them. Without labels it knows nothing and scores 1/2."""
     rng = np.random.default_rng(seed)
     if not len(labels):
         return Machine(np.zeros(DENSE), np.ones(DENSE), 0.0, np.zeros(DENSE + BUCKETS), np.zeros((DENSE + BUCKETS, rank)))
@@ -100,8 +100,9 @@ def fit(dense: np.ndarray, codes: list[np.ndarray], labels: np.ndarray, epochs:
     for _ in range(epochs):
         for rows in np.array_split(rng.permutation(len(labels)), max(1, len(labels) // 128)):
             step += 1
-            counts = np.array([len(codes[i]) for i in rows])
-            flat = np.concatenate([codes[i] for i in rows])
+            own_codes = [opened(codes[i]) for i in rows]
+            counts = np.array([len(c) for c in own_codes])
+            flat = np.concatenate(own_codes)
             raw, x, value, sums = m.raw(dense[rows], flat, counts)
             err = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels[rows]) / len(rows)
             at, owner = flat.astype(np.int64) + DENSE, np.repeat(np.arange(len(rows)), counts)
@@ -126,37 +127,41 @@ def fit(dense: np.ndarray, codes: list[np.ndarray], labels: np.ndarray, epochs:
     return m
 
 
+def shut(codes: np.ndarray) -> bytes:
+    """A text's distinct buckets as two bytes each, or as a bit for every bucket where that is shorter."""
+    if 16 * len(codes) < BUCKETS:
+        return codes.astype("<u2").tobytes()
+    bits = np.zeros(BUCKETS, bool)
+    bits[codes] = True
+    return np.packbits(bits).tobytes()
+
+
+def opened(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u2") if 8 * len(data) < BUCKETS else np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8)))
+
+
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, "text"):
         dense, codes, counts = features(batch.column("text"))
-        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"), batch.column("quality"),
-                pa.ListArray.from_arrays(pa.array(np.arange(0, dense.size + 1, DENSE, dtype=np.int32)), pa.array(dense.ravel())),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(codes)),
-            ],
-            ["doc_id", "quality", "dense", "codes"],
-        )
+        own = [shut(c) for c in np.split(codes, np.cumsum(counts)[:-1])] if len(counts) else []
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, dense.size + 1, DENSE, dtype=np.int32)), pa.array(dense.ravel()))
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "t", "quality")], lists, pa.array(own, pa.binary())], ["doc_id", "t", "quality", "dense", "codes"])
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Machine:
-    """Fits on at most ``limit`` of the labelled documents; a null label counts as none, of several the least."""
-    marked = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    # At most ``limit`` rows of two numbers.
-    both = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")
+    """Fits on at most ``limit`` of the labelled texts; a null label counts as none, of several the least.
+
+    The driver gets ``limit`` rows at most, of 4 KB and a few numbers each, however long or often repeated the
+    texts are. Rows that repeat an id with other texts count each; an empty table gives a machine that knows nothing.
+    """
     kind = dict(docs.dtypes)["doc_id"]
-    rows = both.mapInArrow(_gather, f"doc_id {kind}, quality int, dense array<double>, codes array<int>").toArrow().combine_chunks()
-    rows = rows.sort_by([("doc_id", "ascending")])
+    rows = labelled(docs, labels, limit).mapInArrow(_gather, f"doc_id {kind}, t long, quality int, dense array<double>, codes binary")
+    rows = first_of(rows, limit).toArrow().combine_chunks()
+    rows = rows.sort_by([("doc_id", "ascending"), ("t", "ascending")])
     if not rows.num_rows:
         return fit(np.empty((0, DENSE)), [], np.empty(0))
-    dense = np.array(rows["dense"].to_pylist())
-    # Rows that repeat an id come in the order of their features.
-    order = sorted(range(len(dense)), key=lambda i: (rows["doc_id"][i].as_py(), tuple(dense[i])))
-    codes = [np.array(c, dtype=np.int32) for c in rows["codes"].to_pylist()]
-    quality = rows["quality"].to_numpy().astype(np.float64)
-    return fit(dense[order], [codes[i] for i in order], quality[order])
+    dense = rows["dense"].combine_chunks().flatten().to_numpy().reshape(-1, DENSE)
+    return fit(dense, rows["codes"].to_pylist(), rows["quality"].to_numpy().astype(np.float64))
 
 
 def score(docs: DataFrame, machine: Machine, keep: list[str] | None = None) -> DataFrame:

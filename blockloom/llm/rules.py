@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, table
+from .common import chunks, first_of, labelled, table
 from .stats import COLUMNS, statistics
 
 #: Labelled texts that a fit reads at most; those with the smallest id hashes are taken.
@@ -161,17 +161,19 @@ def text_of(rules: list[list[Condition]]) -> list[str]:
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> list[list[Condition]]:
-    """Learns from at most ``limit`` labelled documents; a null label counts as none, of several the least."""
-    marked = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("__quality"))
-    # At most ``limit`` rows of two numbers.
-    marked = F.broadcast(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))
-    both = docs.select("doc_id", "text").join(marked, "doc_id")
+    """Learns from at most ``limit`` labelled texts; a null label counts as none, of several the least.
+
+    The driver gets ``limit`` rows of a few numbers at most, however often a labelled document is repeated. Rows
+    that repeat an id with other texts count each; without labels there are no rules.
+    """
     columns = ratios()
-    rows = with_statistics(both, ["doc_id", "__quality"]).select("doc_id", "__quality", *[v.alias(k) for k, v in columns.items()]).toArrow()
+    both = labelled(docs, labels, limit).withColumnRenamed("quality", "__quality")
+    rows = with_statistics(both, ["doc_id", "t", "__quality"]).select("doc_id", "t", "__quality", *[v.alias(k) for k, v in columns.items()])
+    rows = first_of(rows, limit).toArrow()
     names = list(columns)
     x = np.stack([rows[n].to_numpy() for n in names], axis=1) if rows.num_rows else np.empty((0, len(names)))
     # Rows in an order that does not depend on the run.
-    order = np.lexsort([*x.T[::-1], rows["doc_id"].to_numpy()]) if rows.num_rows else np.empty(0, np.int64)
+    order = np.lexsort([rows["t"].to_numpy(), rows["doc_id"].to_numpy()]) if rows.num_rows else np.empty(0, np.int64)
     bad = rows["__quality"].to_numpy() == 0 if rows.num_rows else np.empty(0, bool)
     return learn(x[order], bad[order], names)
 
@@ -190,4 +192,4 @@ def apply_rules(docs: DataFrame, rules: list[list[Condition]]) -> DataFrame:
 def op9_rules(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     judged = apply_rules(docs, train(docs, labels))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
