@@ -21,8 +21,15 @@ _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _POLY = 0x9E3779B97F4A7C15
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: A table of fewer bytes for each core is dealt to all cores: it may be one row group, which only one task can read.
+SMALL_BYTES = 4 << 20
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, deal: bool = True) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if deal and size < SMALL_BYTES * cores else df
 
 
 def shared_folder(spark: SparkSession) -> str:

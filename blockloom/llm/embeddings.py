@@ -192,4 +192,4 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, probes: int = PR
 
 
 def op2_embeddings(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return near_duplicates(table(spark, sf_dir, "embeddings", False).select("vec_id", "embedding"))

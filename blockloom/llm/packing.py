@@ -3,9 +3,10 @@
 A document's tokens and the closing id are cut only where they exceed a sequence. Pieces are dealt by hash to
 shards of a bounded number of pieces. A shard's genome is a list of bins (groups); crossover injects whole
 well-filled bins of one parent into the other, drops the other's bins that hold any of the same pieces, and
-puts the pieces thereby displaced back by best fit. A shard evolves as several islands, each in a task of its
-own where others run beside it; between rounds each island's elite migrates to the next. Shards that reach the
-least possible number of bins stop at once. The least-filled bins of all shards are then dissolved and packed
+puts the pieces thereby displaced back by best fit. A shard whose pieces best fit puts into the least possible
+number of bins is done at once. The others evolve as several islands, each begun from genomes and with random
+numbers of its own; between rounds each island's elite migrates to the next island of the ring, and a shard
+stops when one of its islands reaches the least number of bins. The least-filled bins of all shards are then dissolved and packed
 again with those of other shards, level by level, until one shard is left. Shards are dealt so that they hold
 several times the bins that may stay open, however short the pieces are, so each level has far fewer shards.
 
@@ -23,16 +24,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from .common import chunks, cut, table
 
 #: Tokens of a sequence, id that ends each document.
 SEQUENCE, END = 4096, 1
 #: Pieces of a shard, islands of a shard, rounds between which elites migrate.
-SHARD, ISLANDS, ROUNDS = 1024, 3, 2
+SHARD, ISLANDS, ROUNDS = 1024, 3, 3
 #: Genomes of an island, generations of a round, generations without progress that end it.
 POPULATION, GENERATIONS, PATIENCE = 6, 12, 5
 #: Shards that one task evolves.
@@ -111,10 +114,10 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = SEQUENCE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _WORDS.get(vocabulary) or _WORDS.setdefault(vocabulary, WordIds(vocabulary))
-        row = 0
+        row, part_of = 0, TaskContext.get().partitionId()
         for batch in chunks(batches, "text"):
             at, number, start, length, crc, key = [], [], [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
+            for i, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)):
                 row += 1
                 ids = words.of(text or "") + ending
                 for n, a in enumerate(range(0, len(ids), 4 * size)):
@@ -124,7 +127,8 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = SEQUENCE) -> DataFrame:
                     start.append(a // 4)
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
-                    key.append(zlib.crc32(b"%d,%d,%d" % (crc[-1], row, n)))
+                    # Equal texts, even under one id, are told apart by where they were read.
+                    key.append(xxh3_64_intdigest(f"{doc},{part_of},{row},{n}") >> 1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(at, pa.int32())), pa.array(number, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc, key)]],
                 ["doc_id", "piece", "start", "length", "ids_crc32", "shard_key"],
@@ -216,11 +220,11 @@ def _completed(bins: Genome, loose: list[int], lengths: list[int], size: int) ->
     return list(named.values())
 
 
-def start_genomes(lengths: list[int], size: int, count: int, rng: np.random.Generator) -> list[Genome]:
-    """Best fit in falling order of length, then in that order disturbed."""
+def start_genomes(lengths: list[int], size: int, count: int, rng: np.random.Generator, plain: bool = True) -> list[Genome]:
+    """Best fit in falling order of length (unless not ``plain``), then in that order ever more disturbed."""
     whole = np.array(lengths)
     out = []
-    for k in range(count):
+    for k in range(0 if plain else 1, count if plain else count + 1):
         noise = rng.uniform(1 - 0.1 * k, 1 + 0.1 * k, len(whole)) if k else 1
         bins: dict[int, list[int]] = {}
         best_fit(lengths, np.argsort(-whole * noise, kind="stable").tolist(), bins, {}, size)
@@ -235,11 +239,11 @@ def least_bins(lengths: list[int], size: int) -> int:
     return max(-(-sum(lengths) // size), sum(2 * x > size for x in lengths))
 
 
-def evolve(lengths: list[int], elites: list[Genome], size: int, seed: int, generations: int = GENERATIONS) -> Genome:
-    """One round of one island: its elite after some generations, begun from the given elites."""
+def evolve(lengths: list[int], elites: list[Genome], size: int, seed: int, generations: int = GENERATIONS, plain: bool = True) -> Genome:
+    """One round of one island: its elite after some generations, begun from the given elites and start genomes."""
     rng = np.random.default_rng(seed)
     least = least_bins(lengths, size)
-    pool = [*elites, *start_genomes(lengths, size, POPULATION if not elites else 2, rng)]
+    pool = [*elites, *start_genomes(lengths, size, 2 if elites else POPULATION, rng, plain and not elites)]
     scored = sorted(((fitness(g, lengths, size), k, g) for k, g in enumerate(pool)), reverse=True)
     count, idle = len(pool), 0
     for _ in range(generations):
@@ -270,49 +274,72 @@ def _genome_of(bins: np.ndarray) -> Genome:
     return [x.tolist() for x in np.split(order, np.cumsum(np.bincount(bins))[:-1])] if len(bins) else []
 
 
+def _first_fit(size: int):
+    """Each shard by best fit in falling order alone, which most shards need no more than."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [start_genomes(x, size, 1, np.random.default_rng(0))[0] for x in batch.column("lengths").to_pylist()]
+            yield _state(batch, each, size)
+
+    return run
+
+
 def _round(number: int, size: int):
-    """One round of every island in the rows: shard, island, lengths, elites (of itself and its neighbour)."""
+    """One round of every island in the rows: shard, island, lengths, elites (its own and its neighbour's; none at first)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best, bins = [], []
+            best = []
             for shard, island, lengths, elites in zip(*[batch.column(c).to_pylist() for c in ("shard", "island", "lengths", "elites")], strict=True):
                 start = [_genome_of(np.frombuffer(e, np.int32)) for e in elites or []]
-                got = evolve(lengths, start, size, zlib.crc32(b"%d,%d,%d" % (shard, island, number)))
-                best.append(_bins_of(got, len(lengths)).tobytes())
-                bins.append(len(got))
-            least = [least_bins(x, size) for x in batch.column("lengths").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("shard"), batch.column("island"), batch.column("lengths"), pa.array(best, pa.binary()), pa.array(bins, pa.int32()), pa.array(least, pa.int32())],
-                ["shard", "island", "lengths", "elite", "bins", "least"],
-            )
+                best.append(evolve(lengths, start, size, zlib.crc32(b"%d,%d,%d" % (shard, island, number)), plain=not island))
+            yield _state(batch, best, size)
 
     return run
 
 
+def _state(batch: pa.RecordBatch, best: list[Genome], size: int) -> pa.RecordBatch:
+    lengths = batch.column("lengths").to_pylist()
+    elite = [_bins_of(g, len(x)).tobytes() for g, x in zip(best, lengths, strict=True)]
+    counts = [pa.array([len(g) for g in best], pa.int32()), pa.array([least_bins(x, size) for x in lengths], pa.int32())]
+    return pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("shard", "island", "lengths")], pa.array(elite, pa.binary()), *counts], ["shard", "island", "lengths", "elite", "bins", "least"])
+
+
 _STATE = "shard long, island int, lengths array<int>, elite binary, bins int, least int"
 
 
+def migrated(state: DataFrame) -> DataFrame:
+    """Islands with the elites they go on from: their own and that of the island before them in the ring."""
+    ring = W.partitionBy("shard").orderBy("island")
+    before = F.coalesce(F.lag("elite").over(ring), F.last("elite").over(ring.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    return state.select("shard", "island", "lengths", F.array("elite", before).alias("elites"))
+
+
 def _evolved(items: DataFrame, shards: int, size: int, islands: int, rounds: int) -> DataFrame:
     """items: shard, list (sorted structs with length). Adds elite, the best genome of all islands and rounds."""
-    lengths = items.select("shard", F.transform("list", lambda x: x["length"].cast("int")).alias("lengths"))
-    first = lengths.select("shard", F.lit(0).alias("island"), "lengths", F.lit(None).cast("array<binary>").alias("elites"))
+    lengths = items.select("shard", F.lit(0).alias("island"), F.transform("list", lambda x: x["length"].cast("int")).alias("lengths"))
     # Rows are small and slow: tasks are counted by shards, not by bytes.
     tasks = -(-shards // SHARDS_OF_A_TASK)
-    state = cut(first.repartition(tasks, "shard").mapInArrow(_round(0, size), _STATE))
-    done = state.filter("bins <= least").select("shard", "elite")
-    open_ = state.filter("bins > least")
-    if rounds < 2 or open_.isEmpty():
+    state = cut(lengths.repartition(tasks, "shard").mapInArrow(_first_fit(size), _STATE))
+    if rounds < 1:
         return items.join(state.select("shard", "elite"), "shard")
-    open_ = open_.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)])))
-    for number in range(1, rounds):
-        ring = W.partitionBy("shard").orderBy("island")
-        # An island starts from its own elite and that of the island before it; the first takes the last one's.
-        before = F.coalesce(F.lag("elite").over(ring), F.last("elite").over(ring.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-        moved = open_.select("shard", "island", "lengths", F.array("elite", before).alias("elites"))
-        open_ = cut(moved.repartition(islands * tasks, "shard", "island").mapInArrow(_round(number, size), _STATE))
-    best = open_.groupBy("shard").agg(F.min_by("elite", F.struct("bins", "island")).alias("elite"))
-    return items.join(done.unionByName(best), "shard")
+    done = [state.filter("bins <= least").select("shard", "elite")]
+    open_ = state.filter("bins > least")
+    apart = open_.select("shard", F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"), "lengths", F.lit(None).cast("array<binary>").alias("elites"))
+    for number in range(rounds):
+        if open_.isEmpty():
+            break
+        moved = apart if not number else migrated(open_)
+        state = cut(moved.repartition(islands * tasks, "shard", "island").mapInArrow(_round(number, size), _STATE))
+        best = state.groupBy("shard").agg(F.min_by(F.struct("elite", "bins", "least"), F.struct("bins", "island")).alias("x")).select("shard", "x.*")
+        over = best if number == rounds - 1 else best.filter("bins <= least")
+        done.append(over.select("shard", "elite"))
+        open_ = state.join(best.filter("bins > least").select("shard"), "shard", "left_semi")
+    whole = done[0]
+    for d in done[1:]:
+        whole = whole.unionByName(d)
+    return items.join(whole, "shard")
 
 
 def _placed(kind: str, size: int):

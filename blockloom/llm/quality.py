@@ -188,7 +188,7 @@ def held_out(doc_id: Column) -> Column:
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
     """Score and prediction for every document; the fit never sees labels of the held-out fifth."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels", False)
     machine = train(docs, labels.filter(~held_out(F.col("doc_id"))))
     scored = score(docs, machine, ["doc_id"])
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

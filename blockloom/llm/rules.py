@@ -190,6 +190,6 @@ def apply_rules(docs: DataFrame, rules: list[list[Condition]]) -> DataFrame:
 
 
 def op9_rules(spark, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels", False)
     judged = apply_rules(docs, train(docs, labels))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
