@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -23,13 +24,14 @@ from pyspark.sql import types as T
 
 from .common import chunks, table
 
-#: Labelled pages that a fit builds, steps of the fit.
-PAGES, STEPS = 800, 250
+#: Labelled pages that a fit builds, one in so many more without any hints, steps of the fit.
+PAGES, BARE, STEPS = 800, 6, 250
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z",
-    re.S,
-)
+_MARKUP = r"<!--.*?(?:--!?>|\Z)|{}|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*+\Z"
+#: Comments and tags, whose quoted attributes may hold a ">"; nothing is tried twice, so a search is linear.
+_TOKEN = re.compile(_MARKUP.format(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""), re.S)
+#: The same without a look at quotes: for what follows a tag whose quotes never close.
+_UNQUOTED = re.compile(_MARKUP.format(r"(?!)()()()"), re.S)
 #: Elements whose content HTML reads as raw text; that of xmp is shown.
 _RAW = {"script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp"}
 #: Elements whose text is mostly not shown: a feature of their blocks, by which the chain can reject them.
@@ -99,16 +101,27 @@ def _own_features(tag: str, attributes: str) -> frozenset:
 
 
 def blocks(html: str) -> list[Block]:
-    """Leaf blocks of a page in order: white space made one space, character references decoded."""
+    """Leaf blocks of a page in order: white space made one space, character references decoded.
+
+    Linear in the page's length: once a tag's quotes do not close, quotes of later tags are not looked at, and
+    inline elements that change no feature are not kept track of.
+    """
     out: list[Block] = []
     stack: list[tuple[str, frozenset, bool]] = [("", frozenset(), False)]  # tag, features so far, block-level
+    held: Counter[str] = Counter()  # open elements by tag
     text: list[str] = []
-    linked = links = 0
+    linked = 0
+
+    def say(part: str) -> None:
+        nonlocal linked
+        text.append(unescape(part))  # a reference does not reach over a tag
+        if held["a"]:
+            linked += len(part)
 
     def flush() -> None:
         nonlocal linked
         if text:
-            whole = " ".join(unescape("".join(text)).split())
+            whole = " ".join("".join(text).split())
             if whole:
                 tag = next((t for t, _, b in reversed(stack) if b), "")
                 out.append(Block(whole, stack[-1][1], tag, min(1.0, linked / len(whole))))
@@ -116,10 +129,11 @@ def blocks(html: str) -> list[Block]:
         linked = 0
 
     def close(tags: set[str], stop: set[str]) -> None:
-        nonlocal links
+        if not any(held[t] for t in tags):
+            return
         for at in range(len(stack) - 1, 0, -1):
             if stack[at][0] in tags:
-                links -= sum(t == "a" for t, _, _ in stack[at:])
+                held.subtract(t for t, _, _ in stack[at:])
                 del stack[at:]
                 return
             if stack[at][0] in stop:
@@ -130,16 +144,16 @@ def blocks(html: str) -> list[Block]:
     while at < end:
         m = for_tag(html, at)
         if m is None:
-            text.append(html[at:])
+            say(html[at:])
             break
         if m.start() > at:
-            text.append(html[at : m.start()])
-            if links:
-                linked += m.start() - at
+            say(html[at : m.start()])
         at = m.end()
         name = m[2] or m[5]
         if not name:
             continue
+        if m[5]:
+            for_tag = _UNQUOTED.search
         tag, ending, attributes = name.lower(), m[1] or m[4], (m[3] or m[6] or "").strip(" /\n\t")
         if ending:
             if tag == "br":
@@ -151,7 +165,7 @@ def blocks(html: str) -> list[Block]:
                 close({tag}, _BLOCK)
             continue
         closed = (m[3] or m[6] or "").rstrip().endswith("/")
-        foreign = (closed or tag in _RAW) and (tag in ("svg", "math") or any(t in ("svg", "math") for t, _, _ in stack))
+        foreign = (closed or tag in _RAW) and (tag in ("svg", "math") or held["svg"] > 0 or held["math"] > 0)
         if closed and foreign:
             if tag in _BLOCK:
                 flush()
@@ -160,7 +174,7 @@ def blocks(html: str) -> list[Block]:
             flush()
             stop = _RAW_END[tag].search(html, at)
             if tag == "xmp":
-                text.append(html[at : stop.start()].replace("&", "&amp;"))
+                text.append(html[at : stop.start()])
                 flush()
             at = stop.end()
             continue
@@ -176,8 +190,9 @@ def blocks(html: str) -> list[Block]:
                 close(*_CLOSES[tag])
         if tag not in _VOID and not (tag in _NEXT and ((after := _NEXT[tag].search(html, at)) is None or not after[1])):
             own = _own_features(tag, attributes)
-            stack.append((tag, stack[-1][1] | own if own else stack[-1][1], block))
-            links += tag == "a"
+            if block or own or tag == "a" or tag in _NEXT:
+                stack.append((tag, stack[-1][1] | own if own else stack[-1][1], block))
+                held[tag] += 1
     flush()
     return out
 
@@ -405,6 +420,19 @@ class _Maker:
         main = self.article() if self.chance(0.97) else ""
         return f"<html><head><title>{self.words(1, 5)}</title></head><body>{''.join(above)}{main}{''.join(below)}{self.footer() if self.chance(0.85) else ''}</body></html>"
 
+    def bare_page(self) -> str:
+        """A page without names or roles, in half of the cases without elements that tell what they are for."""
+        plain = self.chance(0.5)
+        above = [m() for m, p in ((self.header, 0.5), (self.nav, 0.9), (self.form, 0.3)) if self.chance(p)]
+        below = [m() for m, p in ((self.share, 0.4), (lambda: f"<div><h3>{self.words(1, 4)}</h3><ul>{self.links(self.number(3, 8))}</ul></div>", 0.5), (self.form, 0.2)) if self.chance(p)]
+        body = "".join(self.main_block() for _ in range(self.number(3, 15)))
+        head = f"<h1>{_MARK}{self.words(2, 12)}</h1>" if self.chance(0.8) else ""
+        whole = f"{''.join(above)}<article>{head}{body}</article>{''.join(below)}{self.footer() if self.chance(0.85) else ''}"
+        whole = re.sub(r' (?:class|id|role)="[^"]*"', "", whole)
+        if plain:
+            whole = re.sub(r"<(/?)(?:nav|header|footer|aside|main|article|section|dialog)\b[^>]*>", r"<\1div>", whole)
+        return f"<html><head><title>{self.words(1, 5)}</title></head><body>{whole}</body></html>"
+
     def with_fallback(self, page: str) -> str:
         """The page, in some cases with an element of text that is not shown."""
         if not self.chance(0.25):
@@ -416,14 +444,26 @@ class _Maker:
         return f"{page[:at]}<{tag}>{inner}</{tag}>{page[at:]}"
 
 
+def _labelled(page: str) -> tuple[list[Block], list[bool]]:
+    found = blocks(page)
+    return [Block(b.text.replace(_MARK, ""), b.around, b.tag, b.linked) for b in found], [_MARK in b.text for b in found]
+
+
+def bare_pages(n: int, seed: int = 1) -> list[tuple[list[Block], list[bool]]]:
+    """As labelled_pages(), of layouts that give no hints by names."""
+    maker = _Maker(7_000_000 + seed)
+    return [_labelled(maker.bare_page()) for _ in range(n)]
+
+
 def labelled_pages(n: int = PAGES, seed: int = 1) -> list[tuple[list[Block], list[bool]]]:
     """Blocks of made-up pages with their labels, the same for the same seed."""
     maker, other = _Maker(seed), _Maker(-1 - seed)
-    out = []
-    for _ in range(n):
-        page = blocks(other.with_fallback(maker.page()))
-        out.append(([Block(b.text.replace(_MARK, ""), b.around, b.tag, b.linked) for b in page], [_MARK in b.text for b in page]))
-    return out
+    return [_labelled(other.with_fallback(maker.page())) for _ in range(n)]
+
+
+def training_pages(n: int = PAGES) -> list[tuple[list[Block], list[bool]]]:
+    """What a fit learns from unless told otherwise."""
+    return labelled_pages(n) + bare_pages(n // BARE)
 
 
 # ---- on a cluster
@@ -440,7 +480,7 @@ def extract(pages: DataFrame, chain: Chain | None = None, keep: tuple[str, ...]
     A null or empty html has an empty text. Nothing of a page is cut off; a page that breaks off amid a tag
     loses only that tag. Rows are independent of each other: nothing is shuffled.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(chain or fit(labelled_pages()))  # a few hundred weights
+    shared = pages.sparkSession.sparkContext.broadcast(chain or fit(training_pages()))  # a few hundred weights
     names = [c for c in keep if c not in ("text", "n_chars")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
