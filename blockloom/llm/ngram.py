@@ -6,34 +6,40 @@ must pass the length filter (sizes near enough), the positional filter (what can
 the shared n-gram) and the suffix filter (a lower bound on the sets' difference, from parities of hashed
 elements). Each pair that is left is verified once, by the whole texts.
 
-The order needs counts only to be good, not to be right: they come from a fixed table of hashed counters over
-all documents. Documents with equal sets are one class and are compared once. To keep large groups of copies
-from becoming all their pairs, the join has two rounds: each document is first compared with the least of the
-documents that it shares a prefix n-gram with; after the links so found are joined to components, documents of
-one group are compared with each other where their components differ. No link between components is lost: a
-pair inside one component cannot change any component.
+The order needs counts only to be good, not to be right. Documents are counted for every n-gram, exactly: tasks
+send sorted lists of hashes, packed by their differences, to as many buckets as the input asks for, and each
+bucket gives its most frequent n-grams back. The HEAVY most frequent of all come last, by their counts; the
+others, each rarer than all of these, come first in the order of their hashes.
+
+Documents with equal sets are one class and are compared once. To keep large groups of copies from becoming all
+their pairs, the join has two rounds: each document is first compared with the least of the documents that it
+shares a prefix n-gram with; after the links so found are joined to components, documents of one group are
+compared with each other where their components differ, in blocks of a bounded size. No link between components
+is lost: a pair inside one component cannot change any component.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, mix, split_words, table, window_hashes, window_starts, word_hashes
+from .common import chunks, cut, mix, release, split_words, table, window_hashes, window_starts, word_hashes
 from .components import components
 
 #: Words of an n-gram and least similarity in percent, unless a caller says otherwise.
 WORDS, PERCENT = 5, 80
-#: Hashed counters of n-grams (as a power of two), rows they travel in, bits of a set's parity signature.
-COUNTER_BITS, COUNTER_ROWS, SIGNATURE = 20, 64, 256
+#: Frequent n-grams that are told apart by their counts, bits of a set's parity signature.
+HEAVY, SIGNATURE = 1 << 20, 256
+#: n-grams that a task sends at once, and that a bucket of the count gets, about; bits of the hashes that are counted.
+SENT, BUCKET, COUNTED_BITS = 1_500_000, 1_000_000, 40
+#: Documents of one n-gram's group that are compared with as many others in one place.
+BLOCK = 1024
 
 
 def _all_shingles(text: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,38 +76,112 @@ def least_overlap(n, m, percent: int):
     return -(-(percent * (n + m)) // (100 + percent))
 
 
-def _count(k: int):
-    cells = 1 << COUNTER_BITS
+def packed(values: np.ndarray) -> bytes:
+    """Unsigned numbers below 2^42 in seven bits a byte, lowest first; the top bit says that more follow."""
+    v = values.astype(np.uint64)
+    width = 1 + sum((v >> np.uint64(7 * i) > 0).astype(np.int64) for i in range(1, 6))
+    at = np.concatenate([[0], np.cumsum(width)])
+    out = np.empty(int(at[-1]), np.uint8)
+    for i in range(6):
+        own = width > i
+        part = (v[own] >> np.uint64(7 * i)).astype(np.uint8) & np.uint8(127)
+        out[at[:-1][own] + i] = part | ((width[own] > i + 1).astype(np.uint8) << np.uint8(7))
+    return out.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    last = np.flatnonzero(raw < 128)
+    if not len(last):
+        return np.empty(0, np.uint64)
+    first = np.concatenate([[0], last[:-1] + 1])
+    shift = np.arange(len(raw)) - np.repeat(first, last - first + 1)
+    return np.add.reduceat((raw & np.uint8(127)).astype(np.uint64) << (7 * shift).astype(np.uint64), first)
+
+
+def _counted(x: np.ndarray) -> np.ndarray:
+    return x >> np.uint64(64 - COUNTED_BITS)
+
+
+def _count(k: int, bits: int):
+    """Of all documents of a task: n-grams and the documents that hold them, by bucket (the hash's first bits)."""
+
+    def rows(held: list[np.ndarray]) -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(held), return_counts=True)
+        bucket = (values >> np.uint64(COUNTED_BITS - bits)).astype(np.int64)
+        heads = np.flatnonzero(np.diff(bucket, prepend=-1))
+        cuts = [*zip(heads.tolist(), [*heads[1:].tolist(), len(values)], strict=True)]
+        lists = [packed(np.diff(values[a:b], prepend=np.uint64(0))) for a, b in cuts]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[heads]), pa.array(lists, pa.binary()), pa.array([packed(counts[a:b]) for a, b in cuts], pa.binary())], ["bucket", "grams", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.int64)
+        held, size = [], 0
         for batch in chunks(batches, "text"):
-            got = _all_shingles(batch.column("text"), k)[0]
-            total += np.bincount((got & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
-        part = TaskContext.get().partitionId() % 256
-        rows = [zlib.compress(x.tobytes(), 1) for x in np.split(total, COUNTER_ROWS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(COUNTER_ROWS), pa.int32()), pa.array([part] * COUNTER_ROWS, pa.int32()), pa.array(rows, pa.binary())], ["row", "part", "cells"])
+            got = _counted(shingle_sets(batch.column("text"), k)[0])
+            for at in range(0, len(got), SENT):
+                held.append(got[at : at + SENT])
+                size += len(held[-1])
+                if size >= SENT:
+                    yield rows(held)
+                    held, size = [], 0
+        if size:
+            yield rows(held)
 
     return run
 
 
-def _sum_cells(keys, rows):
-    total = sum(np.frombuffer(zlib.decompress(c), np.int64) for c in rows.column("cells").to_pylist())
-    return pa.table({"row": pa.array([keys[0].as_py()], pa.int32()), "cells": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+def _most(quota: int):
+    """The most frequent n-grams of one bucket, of those that several documents hold."""
 
+    def run(keys, rows):
+        values = [np.cumsum(unpacked(g)) for g in rows.column("grams").to_pylist()]
+        counts = [unpacked(c) for c in rows.column("counts").to_pylist()]
+        values, where = np.unique(np.concatenate(values), return_inverse=True)
+        total = np.bincount(where, weights=np.concatenate(counts)).astype(np.int64)
+        top = np.argsort(-total, kind="stable")[:quota]
+        top = top[total[top] > 1]
+        return pa.table({"gram": pa.array(values[top].astype(np.int64)), "n": pa.array(total[top])})
+
+    return run
 
-def counters(docs: DataFrame, k: int) -> np.ndarray:
-    """Documents by hashed n-gram, over all documents: a table of fixed size, summed in two steps."""
-    rows = docs.select("text").mapInArrow(_count(k), "row int, part int, cells binary")
-    rows = rows.groupBy("row", "part").applyInArrow(_sum_cells, "row int, cells binary")
-    rows = rows.groupBy("row").applyInArrow(_sum_cells, "row int, cells binary")
-    found = {r["row"]: np.frombuffer(zlib.decompress(r["cells"]), np.int64) for r in rows.toArrow().to_pylist()}
-    return np.concatenate([found.get(i, np.zeros((1 << COUNTER_BITS) // COUNTER_ROWS, np.int64)) for i in range(COUNTER_ROWS)])
+
+def frequent(docs: DataFrame, k: int, most: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` n-grams at most that the most documents hold: their hashes' first bits, ascending, and those numbers of documents.
+
+    Counts are over all documents. Of n-grams with the least number that would be listed, none is if not all fit.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(0, int(size / 6 / BUCKET)).bit_length()
+    sent = docs.select("text").mapInArrow(_count(k, bits), "bucket long, grams binary, counts binary")
+    # Hashes spread over the buckets evenly, so twice a bucket's share of the list is enough for its part of it.
+    found = cut(sent.groupBy("bucket").applyInArrow(_most(max(1, 2 * most >> bits)), "gram long, n long"))
+    numbers = sorted(((r["n"], r["count"]) for r in found.groupBy("n").count().collect()), reverse=True)
+    least, room = 2, most
+    for n, count in numbers:
+        if count > room:
+            least = n + 1
+            break
+        room -= count
+    rows = found.filter(F.col("n") >= least).toArrow()  # a list of bounded length
+    order = np.argsort(rows["gram"].to_numpy())
+    table_ = rows["gram"].to_numpy()[order].astype(np.uint64), rows["n"].to_numpy()[order]
+    del sent, found, rows
+    release(docs.sparkSession)
+    return table_
+
+
+def number_of(x: np.ndarray, table_: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Documents that hold each n-gram, 0 for those that are not on the list of frequent ones."""
+    grams, n = table_
+    if not len(grams):
+        return np.zeros(len(x), np.int64)
+    own = _counted(x)
+    at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+    return np.where(grams[at] == own, n[at], 0)
 
 
 def _describe(k: int, percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = shared.value
         for batch in chunks(batches, "text"):
             x, n = shingle_sets(batch.column("text"), k)
             owner = np.repeat(np.arange(len(n)), n)
@@ -112,7 +192,7 @@ def _describe(k: int, percent: int, shared):
             parity = np.bincount(owner * SIGNATURE + (x >> np.uint64(56)).astype(np.int64), minlength=len(n) * SIGNATURE) & 1
             bits = np.packbits(parity.astype(np.uint8)).view(np.int64).reshape(len(n), SIGNATURE // 64)
             want = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
-            count = cells[(x & np.uint64(len(cells) - 1)).astype(np.int64)]
+            count = number_of(x, shared.value)
             first = [part[np.argsort(c, kind="stable")[:w]] for part, c, w in zip(np.split(x, ends[:-1]), np.split(count, ends[:-1]), want.tolist(), strict=True)]
             first = np.concatenate(first) if first else x
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(want)]).astype(np.int32)), pa.array(first.view(np.int64)))
@@ -200,41 +280,65 @@ def similar(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFram
     return found.select("doc_id.doc_id", "n_shingles", F.col("component_id.doc_id").alias("component_id"))
 
 
-def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """As similar(), of documents whose doc_id is a node by node_of(): equal ones have equal texts."""
+def sets_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of each document: size, fingerprints and parities of its set, and its prefix, rare n-grams first."""
     kind = dict(docs.dtypes)["doc_id"]
-    shared = docs.sparkSession.sparkContext.broadcast(counters(docs, k))  # a table of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, k))  # a list of bounded length
     shape = f"doc_id {kind}, n long, f1 long, f2 long, s0 long, s1 long, s2 long, s3 long, prefix array<long>"
-    sets = cut(docs.select("doc_id", "text").mapInArrow(_describe(k, percent, shared), shape))
+    return cut(docs.select("doc_id", "text").mapInArrow(_describe(k, percent, shared), shape))
+
+
+def _fits(x: str, y: str, percent: int) -> Column:
+    """Length and positional filter for sides with n and pos."""
+    n, m, p, q = F.col(f"{x}n"), F.col(f"{y}n"), F.col(f"{x}pos"), F.col(f"{y}pos")
+    most = F.least(p, q) + F.least(n - p, m - q)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (most * (100 + percent) >= percent * (n + m))
+
+
+def _second_round(own: DataFrame, tried: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of one n-gram's group whose components differ, of those that pass all filters and were not ``tried``.
+
+    own: gram, d, n, pos, component and parities, a row for each document of a group. A group is dealt to blocks
+    of about ``block`` documents, and each two blocks meet under a key of their own.
+    """
+    side = ["s0", "s1", "s2", "s3"]
+    split = own.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"))
+    split = cut(split.filter("lo <> hi").select("gram", F.ceil(F.col("m") / block).cast("int").alias("p")))
+    own = cut(own.join(split, "gram").withColumn("block", F.pmod(F.xxhash64("d"), F.col("p")).cast("int")))
+    own = own.select("gram", "d", "n", "pos", "component", "p", "block", *side)
+    x, y = (own.select("gram", "p", "block", *[F.col(c).alias(s + c) for c in ("d", "n", "pos", "component", *side)]) for s in ("x", "y"))
+    x = x.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence(F.col("block"), F.col("p") - 1))).drop("p", "block")
+    y = y.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("block")))).drop("p", "block")
+    fit = ((F.col("i") < F.col("j")) | (F.col("xd") < F.col("yd"))) & (F.col("xcomponent") != F.col("ycomponent")) & _fits("x", "y", percent) & _small_difference("x", "y", percent)
+    rest = x.join(y, ["gram", "i", "j"]).filter(fit).select(F.least("xd", "yd").alias("a"), F.greatest("xd", "yd").alias("b")).distinct()
+    return rest.join(tried, ["a", "b"], "left_anti")
+
+
+def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """As similar(), of documents whose doc_id is a node by node_of(): equal ones have equal texts."""
+    sets = sets_of(docs, k, percent)
     # Documents with equal sets are a class; the least id stands for it.
     real = sets.filter("n > 0 and doc_id is not null")
+    side = ["s0", "s1", "s2", "s3"]
     classes = cut(real.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("other")))
     heads = sets.join(classes.select("n", "f1", "f2", F.col("lead").alias("doc_id")), ["doc_id", "n", "f1", "f2"], "left_semi").dropDuplicates(["doc_id"])
-    heads = cut(heads)
+    heads = cut(heads.select("doc_id", "n", *side, "prefix"))
     inside = real.join(classes.filter("lead <> other").select("n", "f1", "f2", "lead"), ["n", "f1", "f2"]).filter("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
 
-    held = heads.select(F.col("doc_id").alias("d"), F.col("n"), F.posexplode("prefix").alias("pos", "gram"))
-    several = cut(held.groupBy("gram").agg(F.min("d").alias("lead"), F.max("d").alias("last")).filter("lead <> last").select("gram", "lead"))
-    held = cut(held.join(several, "gram").select("gram", "d", "lead", "n", "pos"))
+    held = heads.select(F.col("doc_id").alias("d"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "gram"))
+    several = held.groupBy("gram").agg(F.min(F.struct("d", "n", "pos")).alias("x"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    several = cut(several.select("gram", F.col("x.d").alias("lead"), F.col("x.n").alias("ln"), F.col("x.pos").alias("lpos")))
     # First round: each document with the least of all that it shares an n-gram with.
-    near = held.filter("d <> lead").groupBy("d").agg(F.min("lead").alias("lead"))
-    links = _verified(near.select(F.col("lead").alias("a"), F.col("d").alias("b")), heads, docs, k, percent)
+    held = cut(held.join(several, "gram").select("gram", "d", "n", "pos", "lead", _fits("", "l", percent).alias("near")))
+    near = held.filter("near and d <> lead").groupBy("d").agg(F.min("lead").alias("lead"))
+    tried = cut(near.select(F.col("lead").alias("a"), F.col("d").alias("b")))
+    links = _verified(tried, heads, docs, k, percent)
     found = cut(components(links))
+    release(docs.sparkSession)
 
-    # Second round: pairs of one group whose components differ.
-    side = ["s0", "s1", "s2", "s3"]
     own = heads.select(F.col("doc_id").alias("d"), *side).join(found.select(F.col("node").alias("d"), "component"), "d", "left")
     own = held.select("gram", "d", "n", "pos").join(own, "d").withColumn("component", F.coalesce("component", "d"))
-    split = cut(own.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("gram"))
-    own = cut(own.join(split, "gram", "left_semi"))
-    x, y = (own.select("gram", *[F.col(c).alias(p + c) for c in ("d", "n", "pos", "component", *side)]) for p in ("x", "y"))
-    most = F.least("xpos", "ypos") + F.least(F.col("xn") - F.col("xpos"), F.col("yn") - F.col("ypos"))
-    fit = (
-        (F.col("xd") < F.col("yd")) & (F.col("xcomponent") != F.col("ycomponent")) & _small_difference("x", "y", percent)
-        & (most * (100 + percent) >= percent * (F.col("xn") + F.col("yn")))
-    )
-    rest = x.join(y, "gram").filter(fit).select(F.col("xd").alias("a"), F.col("yd").alias("b")).distinct()
-    more = _verified(rest, heads, docs, k, percent)
+    more = _verified(_second_round(own, tried, percent), heads, docs, k, percent)
 
     ends = components(links.unionByName(more).unionByName(inside))
     out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(ends, F.col("doc_id") == F.col("node"), "left")
