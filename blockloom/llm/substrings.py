@@ -3,15 +3,18 @@
 A window is a suffix of a document cut to WINDOW words. Suffixes are split into groups by the content of their
 beginning: the n-gram with the least hash among the window's words, its anchor. Equal windows have equal
 anchors, so all occurrences of a passage meet in one group; neighbouring suffixes mostly share an anchor and
-travel as one row with one stretch of words. Groups with a single row cannot hold a repeat and are dropped
-before any words are sent. What is left is dealt by anchor, and each task works through its groups in portions
-of a bounded number of words: prefixes of 1, 2, 4, 8, 16 and WINDOW words give the suffixes their ranks, level
-by level, which is the suffix tree over the portion down to that depth. An internal node at full depth is a
-passage that occurs more than once; of its leaves all but the first in the corpus are marked.
-
-Before the shuffle, repeats within one batch of documents are found in the same way, so a passage that a third
-of all documents share comes from each batch once. A group larger than a portion is worked through in order of
-the documents, carrying on only the first row of every passage.
+travel as one row with one stretch of words. Anchors with a single row cannot hold a repeat and are dropped
+before any words are sent. Groups of up to LARGE rows are dealt by anchor, and each task works through whole
+groups in portions of a bounded number of words: ranks of prefixes of 1, 2, 4, 8, .. words give the order of the
+portion's suffixes and the length that neighbours have in common, which is its suffix tree. An internal node of
+WINDOW words' depth or more is a repeat, maximal to the right at its depth; of the suffixes below, all but the
+first in the corpus are marked.
+
+A group of more rows is split by a longer prefix, the whole window: its subtrees are single leaves' nodes then,
+named by two hashes of the window, and the first occurrence in each is a minimum, taken in part before the
+shuffle. So no group, however large, meets in one task. Before any of this, repeats within one batch of
+documents are found by hashes of whole windows, checked by their words, so a passage that a third of all
+documents share comes from each batch once.
 """
 
 from __future__ import annotations
@@ -22,13 +25,12 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, split_words, table, window_hashes, window_starts, word_hashes
+from .common import chunks, cut, mix, split_words, table, window_hashes, window_starts, word_hashes
 
-#: Words of a window, of an anchor; text bytes of a batch; words of a portion.
-WINDOW, ANCHOR, BATCH_BYTES, PORTION = 20, 8, 12 << 20, 2_000_000
+#: Words of a window, of an anchor; text bytes of a batch; words of a portion; rows of an anchor from which on its group is split.
+WINDOW, ANCHOR, BATCH_BYTES, PORTION, LARGE = 20, 8, 12 << 20, 2_000_000, 2048
 
 
 def _runs(starts: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,43 +137,102 @@ def _stretches(window: int):
     return run
 
 
+def _windows(window: int):
+    """Rows of a document and its list of stretches, as a row for each window with two hashes of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 128):
+                batch = whole.slice(at, 128)
+                row, start, one, two = [], [], [], []
+                for i, (z, list_) in enumerate(zip(batch.column("z").to_pylist(), batch.column("list").to_pylist(), strict=True)):
+                    h = word_hashes(pa.array(_words_of(z), pa.binary()).cast(pa.string()))
+                    own = np.unique(np.concatenate([np.arange(x["start"], x["start"] + x["count"]) for x in list_]))
+                    row.append(np.full(len(own), i))
+                    start.append(own)
+                    one.append(window_hashes(h, window)[own])
+                    two.append(window_hashes(mix(h ^ np.uint64(0x5851F42D4C957F2D)), window)[own])
+                if row:
+                    names = [batch.column(c).take(pa.array(np.concatenate(row))) for c in ("doc_id", "t")]
+                    yield pa.RecordBatch.from_arrays([*names, pa.array(np.concatenate(start).astype(np.int32)), *[pa.array(np.concatenate(x).view(np.int64)) for x in (one, two)]], ["doc_id", "t", "start", "h1", "h2"])
+
+    return run
+
+
 def _ranked(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Equal numbers for equal pairs: the nodes one level down."""
+    """Equal numbers for equal pairs, in the order of the pairs: the nodes one level down."""
     pairs = x.astype(np.int64) * (int(y.max()) + 1 if len(y) else 1) + y
     return np.unique(pairs, return_inverse=True)[1].astype(np.int32)
 
 
-def _depth(codes: np.ndarray, depth: int) -> np.ndarray:
-    """For each place with ``depth`` codes after it, the number of its node at that depth of the suffix tree."""
-    ranks, size, whole, have = codes, 1, None, 0
-    while True:
-        if depth & size:
-            n = len(codes) - have - size + 1
-            whole = ranks[: max(n, 0)] if whole is None else _ranked(whole[: max(n, 0)], ranks[have : have + max(n, 0)])
-            have += size
-        if have == depth or len(ranks) <= size:
-            return whole if have == depth else np.empty(0, np.int32)
-        ranks = _ranked(ranks[:-size], ranks[size:])
+def suffix_order(codes: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all suffixes in order, and how many codes each has in common with the one before it (0 for the first).
+
+    ends: for each place the end of its text, which no suffix goes beyond. Lengths in common are exact up to
+    twice the least power of two that reaches ``least``, and at least that where they say so.
+    """
+    n = len(codes)
+    place = np.arange(n)
+    # Codes from 1 on; what is beyond a text's end is 0, and so less than any code.
+    levels, size = [codes.astype(np.int32) + 1], 1
+    while size < least:
+        before = np.append(levels[-1], np.int32(0))
+        after = np.where(place + size < ends, place + size, n)
+        levels.append(_ranked(before[:-1], before[after]) + 1)
         size *= 2
+    order = np.argsort(levels[-1], kind="stable")
+    common = np.zeros(n, np.int64)
+    a, b = order[:-1], order[1:]
+    for level in range(len(levels) - 1, -1, -1):
+        ranks, step = np.append(levels[level], np.int32(0)), 1 << level
+        x, y = a + common[1:], b + common[1:]
+        # Equal ranks of prefixes that lie within their texts are equal prefixes.
+        inside = (x + step <= ends[a]) & (y + step <= ends[b])
+        same = inside & (ranks[np.minimum(x, n)] == ranks[np.minimum(y, n)])
+        common[1:] += np.where(same, step, 0)
+    return order, common
+
+
+def deep_nodes(common: np.ndarray, depth: int) -> np.ndarray:
+    """For each suffix in order, the number of the subtree at ``depth`` that it is in: neighbours with that much in common."""
+    return np.cumsum(common < depth)
+
 
+def maximal_repeats(codes: np.ndarray, ends: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Deepest internal nodes of the tree, of depth ``least`` or more: their depth, suffixes, and the first place.
 
-def _tree(rows: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows are sorted by anchor, document, start. Rows, starts and lengths of marked stretches, and rows with a first window."""
+    A node's depth is what all its suffixes have in common, so no longer run of codes occurs at all of them.
+    """
+    if not len(codes):
+        return []
+    order, common = suffix_order(codes, ends, max(least, int((ends - np.arange(len(codes))).max())))
+    group = deep_nodes(common, least)
+    heads = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
+    sizes = np.diff(np.append(heads, len(order)))
+    depth = np.where(np.append(True, group[1:] != group[:-1]), np.iinfo(np.int64).max, common)
+    return [(int(depth[h : h + n].min()), int(n), int(order[h : h + n].min())) for h, n in zip(heads.tolist(), sizes.tolist(), strict=True) if n > 1]
+
+
+def _tree(rows: pa.Table, window: int) -> np.ndarray:
+    """Rows are sorted by anchor, document, start. Rows, starts and lengths of marked stretches."""
     flat, counts = split_words(rows.column("words").combine_chunks().cast(pa.string()))
     codes = flat.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-    starts = window_starts(counts, window)
-    node = _depth(codes, window)[starts]
+    ends = np.repeat(np.cumsum(counts), counts)
+    order, common = suffix_order(codes, ends, window)
+    whole = order + window <= ends[order]
+    node = np.empty(len(codes), np.int64)
+    node[order] = deep_nodes(common, window)
+    starts = np.sort(order[whole])
     owner = np.repeat(np.arange(len(counts)), counts)[starts]
     inside = rows.column("start").to_numpy()[owner] + starts - (np.cumsum(counts) - counts)[owner]
     document = _documents(rows)[owner]
     # Rows are in order, so the first leaf of a node is its first occurrence within the group; equal windows share their anchor.
-    later, first = _equal_to_first(np.argsort(node, kind="stable"), node)
+    later, first = _equal_to_first(np.argsort(node[starts], kind="stable"), node[starts])
     gone = np.zeros(len(starts), bool)
     gone[later[(document[later] != document[first]) | (inside[later] != inside[first])]] = True
     lost = np.flatnonzero(gone)
     heads, lengths = _runs(starts[lost], owner[lost])
-    firsts = np.unique(owner[~gone])
-    return np.stack([owner[lost[heads]], inside[lost[heads]], lengths]), firsts, counts
+    return np.stack([owner[lost[heads]], inside[lost[heads]], lengths])
 
 
 def _documents(rows: pa.Table) -> np.ndarray:
@@ -183,40 +244,31 @@ def _documents(rows: pa.Table) -> np.ndarray:
 def _trees(window: int, portion: int):
     """Marked stretches of all groups; rows come sorted by anchor, document and start, and none has null words."""
 
-    def marks(rows: pa.Table, old: int) -> tuple[pa.RecordBatch, np.ndarray]:
-        """Marks of the rows after the first ``old``, which have had theirs, and the rows that hold a first window."""
-        (owner, start, count), firsts, _ = _tree(rows, window)
-        new = owner >= old
-        own = pa.array(owner[new])
-        batch = pa.table({"doc_id": rows.column("doc_id").take(own), "t": rows.column("t").take(own), "start": pa.array(start[new].astype(np.int32)), "count": pa.array(count[new].astype(np.int32))})
-        return batch, firsts
+    def marks(rows: pa.Table) -> pa.Table:
+        owner, start, count = _tree(rows, window)
+        own = pa.array(owner)
+        return pa.table({"doc_id": rows.column("doc_id").take(own), "t": rows.column("t").take(own), "start": pa.array(start.astype(np.int32)), "count": pa.array(count.astype(np.int32))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        words, old = 0, 0
+        words = 0
         for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
                 held.append(batch)
                 words += int(np.asarray(batch.column("count")).sum()) + (window - 1) * batch.num_rows
                 if words < portion:
                     continue
                 rows = pa.Table.from_batches(held)
                 anchors = rows.column("anchor").to_numpy()
-                cut = int(np.searchsorted(anchors != anchors[-1], False)) if anchors[0] != anchors[-1] else 0
-                if cut:
-                    # Whole groups are done; the last may go on.
-                    yield from marks(rows.slice(0, cut), old)[0].to_batches()
-                    rows, old = rows.slice(cut), max(0, old - cut)
-                else:
-                    # One group fills the portion: of the rows so far those with the first window of a passage stay.
-                    got, firsts = marks(rows, old)
-                    yield from got.to_batches()
-                    rows, old = rows.take(pa.array(firsts)), len(firsts)
-                held = rows.to_batches()
-                words = int(np.asarray(rows.column("count").combine_chunks()).sum()) + (window - 1) * rows.num_rows if rows.num_rows else 0
+                cut = int(np.argmax(anchors == anchors[-1]))
+                if not cut:
+                    continue  # a group has a bounded number of rows, so its end is near
+                yield from marks(rows.slice(0, cut)).to_batches()
+                rows = rows.slice(cut)
+                held, words = rows.to_batches(), int(np.asarray(rows.column("count").combine_chunks()).sum()) + (window - 1) * rows.num_rows
         if held:
-            yield from marks(pa.Table.from_batches(held), old)[0].to_batches()
+            yield from marks(pa.Table.from_batches(held)).to_batches()
 
     return run
 
@@ -245,7 +297,7 @@ def _finished(window: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, portion: int = PORTION) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, portion: int = PORTION, large: int = LARGE) -> DataFrame:
     """doc_id, n_words, n_removed and text (the words left, joined by one space) of every row of ``docs`` (doc_id, text).
 
     A word goes if a window of ``window`` words over it also starts earlier: in a document with a smaller doc_id
@@ -257,25 +309,40 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", F.crc32(text.cast("binary")).alias("t"), text.alias("text"))
     found = keyed.mapInArrow(_found(window, anchor), f"doc_id {kind}, t long, anchor long, start int, count int, found boolean")
-    several = F.count(F.lit(1)).over(W.partitionBy("anchor"))
-    found = found.withColumn("rows", several).filter("found or rows > 1")
-    lists = found.groupBy("doc_id", "t").agg(F.collect_list(F.struct("anchor", "start", "count", "found")).alias("list"))
+    # Counted in parts before the shuffle; the texts are read again for the rows, which costs less disk than keeping them.
+    several = cut(found.filter("not found").groupBy("anchor").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("anchor", (F.col("rows") > large).alias("large")))
+    found = found.join(several, "anchor", "left").filter("found or large is not null")
     texts = keyed.mapInArrow(_compressed, f"doc_id {kind}, t long, z binary")
 
+    def listed(rows: DataFrame) -> DataFrame:
+        """Stretches by document; rows that repeat a document give each of them once."""
+        return rows.groupBy("doc_id", "t").agg(F.collect_set(F.struct("anchor", "start", "count", "found")).alias("list"))
+
     # Null-safe on both keys: so no filter is put before one of the two joins, and both read one exchange of the texts.
     def with_texts(side: DataFrame, column: str, how: str) -> DataFrame:
         own = side.select(F.col("doc_id").alias("d"), F.col("t").alias("u"), column)
         return texts.join(own, texts["doc_id"].eqNullSafe(F.col("d")) & texts["t"].eqNullSafe(F.col("u")), how).select("doc_id", "t", "z", column)
 
     # Rows that repeat a document send its stretches again, which changes nothing: a place is never earlier than itself.
-    rows = with_texts(lists, "list", "inner").mapInArrow(_stretches(window), f"doc_id {kind}, t long, anchor long, start int, count int, words binary")
+    rows = with_texts(listed(found.filter("found or not large")), "list", "inner").mapInArrow(_stretches(window), f"doc_id {kind}, t long, anchor long, start int, count int, words binary")
     ordered = rows.repartition("anchor").sortWithinPartitions("anchor", F.col("doc_id").asc_nulls_last(), "t", "start")
     shape = f"doc_id {kind}, t long, start int, count int"
     gone = ordered.mapInArrow(_marks_and(_trees(window, portion)), shape)
+    if not several.filter("large").isEmpty():
+        windows = with_texts(listed(found.filter("large")), "list", "inner").mapInArrow(_windows(window), f"doc_id {kind}, t long, start int, h1 long, h2 long")
+        gone = gone.unionByName(_later(cut(windows)))
     marked = gone.groupBy("doc_id", "t").agg(F.collect_list(F.struct("start", "count")).alias("gone"))
     return with_texts(marked, "gone", "left").mapInArrow(_finished(window), f"doc_id {kind}, n_words long, n_removed long, text string")
 
 
+def _later(windows: DataFrame) -> DataFrame:
+    """Windows (doc_id, t, start, h1, h2) that are not the first of their words, as stretches of one window."""
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "start")
+    first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last")))
+    later = windows.join(first.select("h1", "h2", "first"), ["h1", "h2"]).filter(~F.col("first").eqNullSafe(place))
+    return later.select("doc_id", "t", "start", F.lit(1).alias("count")).distinct()
+
+
 def _marks_and(trees):
     """Rows without words are marks already and pass; the others go to the trees."""
 

@@ -78,11 +78,11 @@ def brute_repeats(docs, window):
     return out
 
 
-@pytest.mark.parametrize("window, anchor, portion", [(20, 8, 2_000_000), (20, 8, 500), (6, 3, 300)])
-def test_repeats_are_exact(odd_docs, window, anchor, portion):
+@pytest.mark.parametrize("window, anchor, portion, large", [(20, 8, 2_000_000, 2048), (20, 8, 500, 3), (6, 3, 300, 1), (6, 3, 300, 5)])
+def test_repeats_are_exact(odd_docs, window, anchor, portion, large):
     docs = rows_of(odd_docs)
     want = Counter((i, *brute_repeats(docs, window)[(i, t or "")]) for i, t, _ in docs)
-    got = substrings.remove_repeats(odd_docs.repartition(5), window, anchor, portion).collect()
+    got = substrings.remove_repeats(odd_docs.repartition(5), window, anchor, portion, large).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.text) for r in got) == want
 
 
@@ -90,13 +90,62 @@ def test_repeats_of_nothing(no_docs):
     assert substrings.remove_repeats(no_docs).collect() == []
 
 
-def test_suffix_tree_depths():
-    codes = np.array([1, 2, 1, 2, 1, 3, 1, 2, 1, 2, 1], np.int32)
-    for depth in (1, 2, 3, 5, 20):
-        node = substrings._depth(codes, depth)
-        parts = [tuple(codes[i : i + depth]) for i in range(len(codes) - depth + 1)]
-        assert len(node) == len(parts)
-        assert all((node[i] == node[j]) == (parts[i] == parts[j]) for i in range(len(parts)) for j in range(len(parts)))
+def test_suffix_trees():
+    rng = np.random.default_rng(4)
+    for trial in range(30):
+        codes = rng.integers(0, 3, 80).astype(np.int32)
+        cuts = np.sort(rng.integers(0, 80, 4))
+        ends = np.repeat([*cuts, 80], np.diff([0, *cuts, 80]))
+        for least in (1, 2, 3, 5, 20):
+            order, common = substrings.suffix_order(codes, ends, least)
+            suffix = [tuple(codes[i : ends[i]]) for i in range(80)]
+            size = 1 << (least - 1).bit_length()
+            assert [suffix[i][:size] for i in order] == sorted(x[:size] for x in suffix)
+            for (i, j), c in zip(zip(order, order[1:]), common[1:]):
+                same = next((k for k, (x, y) in enumerate(zip(suffix[i], suffix[j])) if x != y), min(len(suffix[i]), len(suffix[j])))
+                assert c == same if same < size else c >= size
+            node = substrings.deep_nodes(common, least)
+            whole = [(n, suffix[i][:least]) for n, i in zip(node, order) if len(suffix[i]) >= least]
+            assert len(set(whole)) == len({n for n, _ in whole}) == len({x for _, x in whole})
+
+
+def test_maximal_repeats():
+    text = "the cat sat on the mat and the cat sat on a hat".split()
+    names = {w: i for i, w in enumerate(dict.fromkeys(text))}
+    codes = np.array([names[w] for w in text], np.int32)
+    found = substrings.maximal_repeats(codes, np.full(len(codes), len(codes)), 3)
+    assert sorted(found) == [(3, 2, 1), (4, 2, 0)]
+    # Two texts: a run that goes over the end of one is no repeat.
+    ends = np.array([7] * 7 + [13] * 6)
+    assert substrings.maximal_repeats(codes, ends, 4) == [(4, 2, 0)] and substrings.maximal_repeats(codes, ends - (ends == 13) * 3, 4) == []
+    assert substrings.maximal_repeats(codes[:0], ends[:0], 3) == []
+
+
+def test_large_groups_are_split(spark):
+    """One common n-gram in every document, in other words each time: a single anchor's group, without a repeat."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    def took(n):
+        word = lambda k: F.concat(F.lit(f"w{k}x"), F.col("id"))
+        docs = spark.range(0, n, 1, 8).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[word(k) for k in range(4)], F.lit("the one and only common eight words here"), *[word(k) for k in range(4, 22)]).alias("text"))
+        began = time.perf_counter()
+        got = substrings.remove_repeats(docs, large=100).agg(F.sum("n_removed"), F.count(F.lit(1))).first()
+        assert tuple(got) == (0, n)
+        return time.perf_counter() - began
+
+    took(1000)
+    small, large = took(4000), took(16_000)
+    assert large < 4 * small + 5
+
+
+def test_repeated_rows_of_large_groups(spark):
+    words = " ".join(f"a{i}" for i in range(60))
+    rows = [(7, words)] * 300 + [(8, words + " end"), (3, "x " + words), (None, words)]
+    for large in (1, 2048):
+        got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), large=large).collect()
+        assert Counter((r.doc_id, r.n_words, r.n_removed) for r in got) == Counter({(7, 60, 60): 300, (8, 61, 60): 1, (3, 61, 0): 1, (None, 60, 60): 1})
 
 
 def test_statistics_against_plain_python(odd_docs):
