@@ -71,8 +71,10 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.withColumn("__h", F.xxhash64(text))
     out = keyed.join(gone, keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__t")), "left")
+    # Both lists are bound once, and the places that stay are found by hashing: linear in a text's lines.
     parts = F.split(F.col("text"), "\n")
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
+    left = F.get(F.transform(F.array(parts), lambda p: F.array_join(F.transform(stay, lambda i: F.get(p, i)), "\n")), F.lit(0))
     n_lines = F.coalesce(F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(BLANK)) != "")), F.lit(0)).cast("long")
     return out.select(
         *[F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else docs[c] for c in docs.columns],
