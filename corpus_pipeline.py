@@ -2,6 +2,12 @@
 
 A stage takes (spark, docs, sf_dir) and returns a frame; all but the last have the columns of ``documents``. The
 result of each is written as Parquet before the next reads it, so a lost executor costs the work of one stage.
+A stage's table is deleted when the next one's is written; that which the last stage reads stays.
+
+Null texts count as empty ones, null ids are documents of their own that link with nothing, and a null source is
+a source. Rows that repeat an id with other texts are judged each on its own; rows that repeat id and text are
+copies, of which the n-gram join keeps one. Further columns of ``documents`` are left out by the first stage, so
+names cannot clash. Empty tables give an empty result; without labels the classifier keeps all documents.
 """
 
 from __future__ import annotations
@@ -10,14 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.llm import lines, mixing, ngram, packing, quality
-from blockloom.llm.common import stored, table
+from blockloom.llm.common import discard, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier scores below its threshold; it learns without the held-out fifth."""
-    labels = table(spark, sf_dir, "labels").filter(~quality.held_out(F.col("doc_id")))
+    labels = table(spark, sf_dir, "labels", False).filter(~quality.held_out(F.col("doc_id")))
     scored = quality.score(docs, quality.train(docs, labels))
     return scored.filter(F.col("score") >= quality.THRESHOLD).select(*COLUMNS)
 
@@ -67,7 +73,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if number < len(STAGES):
             docs = stored(docs)
+            if number > 1:
+                discard(before)
     return docs
