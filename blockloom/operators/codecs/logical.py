@@ -25,6 +25,17 @@ def anchors(n: int, group: int) -> np.ndarray:
     return at
 
 
+def followed(steps: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Each step added to the value at its anchor (-1: none), that to the one at its own, and so on: halving all ways at once."""
+    out, at = steps.copy(), np.asarray(at)
+    while (more := np.flatnonzero(at >= 0)).size:
+        up = at[more]
+        out[more] += out[up]
+        at = at.copy()
+        at[more] = at[up]
+    return out
+
+
 class Delta:
     """Zig-zagged differences; group 1 keeps the first value raw, group 8 copies arrays under eight values."""
 
@@ -47,10 +58,7 @@ class Delta:
         if self.group == 1:
             d[0] = z[0]
             return np.cumsum(d, dtype=np.uint32)
-        at, out = anchors(n, self.group).tolist(), []
-        for step, a in zip(d.tolist(), at, strict=True):
-            out.append((step + (out[a] if a >= 0 else 0)) & 0xFFFFFFFF)
-        return np.array(out, np.uint32)
+        return followed(d, anchors(n, self.group))
 
 
 class Reference:

@@ -8,12 +8,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from enum import Enum
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import bit_width, trunc_div, unsigned, unzigzag, varint_bytes, whole_bytes, zigzag
+from .codecs.logical import followed
 
 
 def _whole() -> W:
@@ -85,8 +87,8 @@ def _as_arrays(cells: DataFrame, column: str) -> DataFrame:
 def undelta(encoded: DataFrame, stride: Stride) -> DataFrame:
     """block_id, pos, v from ``delta``'s frame.
 
-    Adjacent differences are running sums. The grouped forms are decoded value by value, as each needs earlier
-    ones: blocks travel as arrays and each is decoded once, in time linear in its size.
+    Adjacent differences are running sums. In the grouped forms each value needs an earlier one: blocks travel as
+    arrays, and all chains of values are followed at once, by array operations.
     """
     if stride is Stride.ADJACENT:
         step = F.when(F.col("pos") == 0, F.col("enc")).otherwise(unzigzag(F.col("enc")))
@@ -101,15 +103,15 @@ def undelta(encoded: DataFrame, stride: Stride) -> DataFrame:
 
 
 def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds to each difference the decoded value that it was held against."""
+    """Adds to each difference the decoded value that it was held against, and so on; blocks of a batch at once."""
     for batch in batches:
-        out = []
-        for steps, places in zip(batch.column("d").to_pylist(), batch.column("at").to_pylist(), strict=True):
-            done: list[int] = []
-            for step, at in zip(steps, places, strict=True):
-                done.append(step if at < 0 else step + done[at])
-            out.append(done)
-        yield pa.RecordBatch.from_arrays([batch.column("block_id"), pa.array(out, pa.list_(pa.int64()))], ["block_id", "values"])
+        steps, at = batch.column("d"), batch.column("at")
+        counts = np.asarray(steps.value_lengths().fill_null(0))
+        first = np.repeat(np.cumsum(counts) - counts, counts)
+        places = at.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        values = followed(steps.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.where(places < 0, -1, places + first))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
+        yield pa.RecordBatch.from_arrays([batch.column("block_id"), lists], ["block_id", "values"])
 
 
 def frame_of_reference(cells: DataFrame) -> DataFrame:

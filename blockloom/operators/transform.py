@@ -6,6 +6,8 @@ it. Windows are always within a block.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,29 +49,51 @@ def transform(cells: DataFrame, kind: Transform, keys: tuple[str, ...] = ("block
     return cells
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once: an expression used within a lambda is else computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def array_transform(data: Column, kind: Transform) -> Column:
-    """The same transforms on a block kept as an array: no window, no shuffle, one expression per block."""
+    """The same transforms on a block kept as an array: no window and no shuffle, linear in the block's size."""
+    if kind is Transform.NONE:
+        return data
     n = F.size(data)
+
+    def threshold(x: Column) -> Column:
+        mean = trunc_div(F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + v), F.greatest(n, F.lit(1)))
+        return bound(mean, lambda m: F.transform(x, lambda v: F.when(v >= m, F.lit(1)).otherwise(F.lit(0))))
+
+    def smooth(x: Column, last: Column) -> Column:
+        def near(v: Column, i: Column) -> Column:
+            before, after = F.get(x, i - 1), F.get(x, i + 1)
+            inner = trunc_div(before + v + after, F.lit(3))
+            return F.when(last == 0, v).when(i == 0, trunc_div(v + after, F.lit(2))).when(i == last, trunc_div(before + v, F.lit(2))).otherwise(inner)
+
+        def shifted(y: Column) -> Column:
+            low = F.when(last > 0, F.least(F.array_min(y), F.lit(0))).otherwise(F.lit(0))
+            return bound(low, lambda b: F.transform(y, lambda v: (v - b).cast("int")))
+
+        return bound(F.transform(x, near), shifted)
+
+    def index_classes(width: Column) -> Column:
+        return F.transform(data, lambda v, i: F.least(trunc_div(i, width), F.lit(CLASSES - 1)).cast("int"))
+
+    def value_classes(x: Column) -> Column:
+        def classed(low: Column, step: Column) -> Column:
+            found = lambda v: F.least(trunc_div(v - low, F.greatest(step, F.lit(1))), F.lit(CLASSES - 1))
+            return F.transform(x, lambda v: F.when(step == 0, F.lit(0)).otherwise(found(v)).cast("int"))
+
+        ends = F.struct(F.array_min(x).alias("low"), trunc_div(F.array_max(x) - F.array_min(x), F.lit(CLASSES - 1)).alias("step"))
+        return bound(ends, lambda e: bound(e["low"], lambda low: bound(e["step"], lambda step: classed(low, step))))
+
     longs = F.transform(data, lambda v: v.cast("long"))
     if kind is Transform.THRESHOLD:
-        mean = trunc_div(F.aggregate(longs, F.lit(0).cast("long"), lambda a, v: a + v), F.greatest(n, F.lit(1)))
-        return F.transform(longs, lambda v: F.when(v >= mean, F.lit(1)).otherwise(F.lit(0)))
+        return bound(longs, threshold)
     if kind is Transform.SMOOTH_AND_SHIFT:
-        def near(v, i):
-            first, last = i == 0, i == n - 1
-            before, after = F.get(longs, i - 1), F.get(longs, i + 1)
-            return F.when(first & last, v).when(first, trunc_div(v + after, F.lit(2))).when(last, trunc_div(before + v, F.lit(2))).otherwise(trunc_div(before + v + after, F.lit(3)))
-
-        smooth = F.transform(longs, near)
-        low = F.when(n > 1, F.least(F.array_min(smooth), F.lit(0))).otherwise(F.lit(0))
-        return F.transform(smooth, lambda v: (v - low).cast("int"))
+        return bound(longs, lambda x: bound(F.size(x) - 1, lambda last: smooth(x, last)))
     if kind is Transform.INDEX_CLASSES:
-        width = F.greatest(trunc_div(n, F.lit(CLASSES)), F.lit(1))
-        return F.transform(data, lambda v, i: F.least(trunc_div(i, width), F.lit(CLASSES - 1)).cast("int"))
+        return bound(F.greatest(trunc_div(n, F.lit(CLASSES)), F.lit(1)), index_classes)
     if kind is Transform.VALUE_CLASSES:
-        low = F.array_min(longs)
-        step = trunc_div(F.array_max(longs) - low, F.lit(CLASSES - 1))
-        return F.transform(longs, lambda v: F.when(step == 0, F.lit(0)).otherwise(F.least(trunc_div(v - low, F.greatest(step, F.lit(1))), F.lit(CLASSES - 1))).cast("int"))
-    if kind is Transform.VALUE_SHIFT:
-        return F.transform(longs, lambda v: (v + SHIFT).cast("int"))
-    return data
+        return bound(longs, value_classes)
+    return F.transform(data, lambda v: (v.cast("long") + SHIFT).cast("int"))

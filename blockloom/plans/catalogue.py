@@ -295,14 +295,78 @@ def _reencoded(spark, sf_dir):
     return pipeline.decode(after).select("block_id", F.posexplode("data").alias("pos", "v"))
 
 
+def _reencoded_whole(spark, sf_dir):
+    """All full blocks encoded, classified in place, encoded anew by another codec, and read once more."""
+    cells = pipeline.prepared(r1(spark, sf_dir), SIZE, None, Ordering.MORTON, Transform.NONE)
+    grid = pipeline.encode(pipeline.as_arrays(cells), "[+]_custom_delta_vecavx512+simdcomp")
+    _, after = pipeline.run_access(spark, grid, Access.VALUE_CLASSES, "[+]_custom_rle_vecavx512+FastPFor_FastPFor128")
+    return pipeline.decode(after).select("block_id", F.posexplode("data").alias("pos", "v"))
+
+
+#: Codecs whose sizes SQL can tell, by the model that gives them.
+_KNOWN_SIZES = {"MASKEDVBYTE": "varint", "STREAMVBYTE": "streamvbyte", "FrameOfReference": "frame", "FastPFor_JustCopy": "(4 * n)"}
+
+
+def _compression_means(spark, sf_dir):
+    """Means of what real codecs make of all blocks, in two orderings and two transforms."""
+    found = pipeline.compression_sweep(spark, r2(spark, sf_dir), SIZE, None, ["default", "morton"], ["none", "SmoothAndShift"], ["default"], list(_KNOWN_SIZES))
+    return found.select("ordering", "transform", "codec", "blocks", "failed", *[F.round(c, 6).alias(c) for c in ("cf_mean", "cf_var", "bpi_mean")])
+
+
+_REPS = 3
+
+
+def _repetitions(spark, sf_dir):
+    """Accesses that are repeated: how many observations each stream pools, and a checksum of all results."""
+    rows = pipeline.as_arrays(_cells("R2", Ordering.MORTON)(spark, sf_dir))
+    out = None
+    for kind in (Access.THRESHOLD, Access.SMOOTH_AND_SHIFT, Access.SUM):
+        one = pipeline.repetitions(rows, "simdcomp", kind, "STREAMVBYTE", _REPS).select(F.lit(str(kind)).alias("access"), "blocks", "reps", "checksum", "decode_n", "transform_n", "encode_n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_STUDY = [
+    (1, "a.tif", "No Transformation", "LZ4", "Zstd_1 LZ4"), (2, "a.tif", "No Transformation", "'LZ4' simdcomp", "Zstd_1"), (3, "a.tif", "threshold", "Zstd_3", "DEFLATE"),
+    (4, "a.tif", "valueShift", None, "LZMA  LZ4"), (5, "a.tif", "smoothAndShift", "LZ4", ""), (6, "b.tif", "No Transformation", "", "LZ4"), (7, "b.tif", "threshold", "LZ4", "\"Zstd_5\""),
+]
+
+
+def _planner_phases(spark, sf_dir):
+    table = spark.createDataFrame(_STUDY, "row int, File string, Transformation string, dec string, both string")
+    return planner.phases(spark, table, ["a.tif", "b.tif"], {"decompression": "dec", "both": "both"}, row_number="row")
+
+
+#: Blocks of the size that the reference's studies use, over a raster of customers that is as wide as one.
+_WIDE = 256
+
+
+def _wide_blocks(kind: Transform, spark, sf_dir):
+    own = _read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int").alias("key"), F.floor("c_acctbal").cast("long").alias("a"))
+    low = own.agg(F.min("key").alias("low"), F.count(F.lit(1)).alias("rows"))
+    cells = own.join(F.broadcast(low)).select((F.col("key") - F.col("low")).alias("y"), "a", "rows").filter(F.col("y") < F.floor(F.col("rows") / _WIDE) * _WIDE)
+    cells = cells.select("y", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(_WIDE - 1)), lambda x: ((F.col("a") * (x + 1)) % 9973).cast("int"))).alias("x", "v"))
+    placed = cells.select(F.floor(F.col("y") / _WIDE).alias("block_id"), ((F.col("y") % _WIDE) * _WIDE + F.col("x")).cast("int").alias("pos"), "v")
+    rows = pipeline.as_arrays(reorder(placed, _WIDE, Ordering.MORTON))
+    return rows.withColumn("data", array_transform(F.col("data"), kind)).select(
+        "block_id", "n", F.array_min("data").alias("least"), F.array_max("data").alias("greatest"), F.aggregate("data", F.lit(0).cast("long"), lambda a, v: (a * 31 + v) % 1000000007).alias("checksum")
+    )
+
+
+def _wide_sql(kind: Transform) -> str:
+    return f"""WITH l AS (SELECT min(c_custkey) AS low, count(*) AS rows FROM customer), c AS (
+  SELECT (c_custkey - low)::INT AS y, unnest(range({_WIDE}))::INT AS x, floor(c_acctbal)::BIGINT AS a FROM customer, l WHERE c_custkey - low < rows // {_WIDE} * {_WIDE}
+), f AS (SELECT (y // {_WIDE})::BIGINT AS block_id, ((y % {_WIDE}) * {_WIDE} + x)::INT AS pos, ((a * (x + 1)) % 9973)::INT AS v FROM c
+), b AS (SELECT block_id, {_position_sql(Ordering.MORTON, _WIDE)} AS pos, v FROM f), t AS ({_transform_sql(kind)})
+SELECT block_id, count(*)::INT AS n, min(v) AS least, max(v) AS greatest, (list_reduce(list_prepend(0::BIGINT, list(v::BIGINT ORDER BY pos)), lambda a, x: (a * 31 + x) % 1000000007))::BIGINT AS checksum FROM t GROUP BY block_id"""
+
+
 def _statuses(codecs: list[str], spark, sf_dir):
     found = pipeline.bench(pipeline.as_arrays(_cells("R2", Ordering.MORTON)(spark, sf_dir)), codecs)
-    return found.groupBy("codec").agg(F.count(F.lit(1)).alias("blocks"), F.count_if(F.col("status") == "ok").alias("ok"))
+    return found.groupBy("codec").agg(F.count(F.lit(1)).alias("blocks"), F.count_if(F.col("status") == "ok").alias("ok"), F.sum("total").alias("total"))
 
 
 _CASCADES = [c.name for head in ("custom_delta_vecavx512", "custom_rle_vecavx512", "custom_for_vecavx512") for c in registry.pool(head)]
-#: Those that the SQL of cascade_roundtrip lists.
-_CASCADES_OF_SQL = [c for c in _CASCADES if "FastPFor" not in c]
 
 
 def _sweep(spark, sf_dir):
@@ -312,7 +376,7 @@ def _sweep(spark, sf_dir):
 
 
 def _stream(spark, sf_dir):
-    """Encoded sizes of blocks that arrive as a stream, gathered by a stateful count."""
+    """Sums of all blocks, from what their encoded forms decode to."""
     rows = pipeline.as_arrays(_cells("R2")(spark, sf_dir))
     return pipeline.decode(pipeline.encode(rows, "STREAMVBYTE")).select("block_id", "n", F.aggregate("data", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
 
@@ -322,6 +386,9 @@ _ACCESS_NAMES = {"acc_xor": (Access.XOR, False), "acc_sum": (Access.SUM, False),
 _STRIDES = {"adjacent": encode.Stride.ADJACENT, "g4": encode.Stride.GROUP_4, "g8pair": encode.Stride.GROUP_8, "g16": encode.Stride.GROUP_16}
 
 
+_WIDE_KINDS = {"threshold": Transform.THRESHOLD, "smooth": Transform.SMOOTH_AND_SHIFT, "value_class": Transform.VALUE_CLASSES}
+
+
 def queries() -> dict:
     found = {
         "raster_profile": _profile, "cast_loss_check": _loss, "float_int_compare": _two_reads,
@@ -334,6 +401,8 @@ def queries() -> dict:
         "dec_for_roundtrip": _unframe, "dec_rle_roundtrip": _unrun, "size_rle_compat": lambda s, d: encode.run_length_sizes(_cells("R4")(s, d)),
         "codec_stats": _codec_stats, "codec_sweep": _codec_sweep, "select_codecs": _select_codecs, "mandatory_codecs": _mandatory, "pareto_lookup": _pareto_lookup, "pareto_front": _front,
         "pipeline_reencode": _reencoded, "pipeline_sweep": _sweep, "phys_roundtrip": partial(_statuses, _POOL), "cascade_roundtrip": partial(_statuses, _CASCADES), "encoded_blocks": _stream,
+        "pipeline_reencode_whole": _reencoded_whole, "compression_means": _compression_means, "pipeline_repetitions": _repetitions, "planner_phases": _planner_phases,
+        **{f"t_{k.lower()}_256": partial(_wide_blocks, t) for k, t in _WIDE_KINDS.items()},
     }
     for name, kind in _TRANSFORM_NAMES.items():
         for ordering, word in ((Ordering.ROW_MAJOR, "rowmajor"), (Ordering.MORTON, "morton")):
@@ -462,12 +531,34 @@ def oracle_sql() -> dict[str, str]:
         "select_codecs": f"SELECT * FROM (VALUES {_values([(k, i, n) for k, v in chosen.items() for i, n in enumerate(v)])}) AS t(request, place, codec)",
         "mandatory_codecs": f"{pareto} SELECT row, {joined.format(listed.format('com'))} AS codecs FROM p",
         "pareto_lookup": f"{pareto}, l AS (SELECT *, {lists} AS own FROM p WHERE file IN ('a.tif', 'b.tif') QUALIFY row_number() OVER (PARTITION BY file, transform ORDER BY row DESC) = 1) SELECT file, transform, {joined.format('own')} AS codecs FROM l WHERE len(own) > 0",
-        "pareto_front": "WITH p AS (SELECT p_partkey, p_size, floor(p_retailprice)::BIGINT AS price FROM part WHERE p_partkey < 300) SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM p AS q WHERE q.p_size <= p.p_size AND q.price <= p.price AND (q.p_size < p.p_size OR q.price < p.price))",
+        "pareto_front": "WITH p AS (SELECT p_partkey, p_size, floor(p_retailprice)::BIGINT AS price FROM part) SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM p AS q WHERE q.p_size <= p.p_size AND q.price <= p.price AND (q.p_size < p.p_size OR q.price < p.price))",
         "pipeline_reencode": f"{reencode} {_transform_sql(Transform.VALUE_CLASSES)}",
         "pipeline_sweep": _sweep_sql(),
-        **{k: f"{_blocks_sql('R2')} SELECT unnest([{', '.join(repr(c) for c in names)}]) AS codec, n AS blocks, n AS ok FROM (SELECT count(DISTINCT block_id) AS n FROM b)" for k, names in (("phys_roundtrip", _POOL), ("cascade_roundtrip", _CASCADES_OF_SQL))},
+        **{k: f"{_blocks_sql('R2')} SELECT unnest([{', '.join(repr(c) for c in names)}]) AS codec, n AS blocks, n AS ok, total FROM (SELECT count(DISTINCT block_id) AS n, sum(v)::BIGINT AS total FROM b)" for k, names in (("phys_roundtrip", _POOL), ("cascade_roundtrip", _CASCADES))},
         "encoded_blocks": f"{_blocks_sql('R2')} SELECT block_id, count(*)::INT AS n, sum(v)::BIGINT AS total FROM b GROUP BY block_id",
     }
+    each = []
+    for o in ("default", "morton"):
+        for t in ("none", "SmoothAndShift"):
+            sizes = f"{_blocks_sql('R2', Ordering.parse(o))}, t AS ({_transform_sql(Transform.parse(t))}), s AS ({_sizes_sql('t')})"
+            listed_sizes = " UNION ALL ".join(f"SELECT '{c}' AS codec, n, {m}::DOUBLE AS size FROM s" for c, m in _KNOWN_SIZES.items())
+            each.append(f"(SELECT '{Ordering.parse(o)}' AS ordering, '{Transform.parse(t)}' AS transform, * FROM ({sizes} SELECT codec, count(*) AS blocks, 0::BIGINT AS failed, round(avg(size / (4 * n)), 6) AS cf_mean, round(var_pop(size / (4 * n)), 6) AS cf_var, round(avg(size / n), 6) AS bpi_mean FROM ({listed_sizes}) GROUP BY codec))")
+    found["compression_means"] = " UNION ALL ".join(each)
+    found["pipeline_reencode_whole"] = f"{_blocks_sql('R1', Ordering.MORTON)} {_transform_sql(Transform.VALUE_CLASSES)}"
+    again = [(Access.THRESHOLD, Transform.THRESHOLD), (Access.SMOOTH_AND_SHIFT, Transform.SMOOTH_AND_SHIFT), (Access.SUM, Transform.NONE)]
+    found["pipeline_repetitions"] = " UNION ALL ".join(
+        f"(SELECT '{a}' AS access, blocks, {_REPS} AS reps, ({_REPS} * total)::BIGINT AS checksum, {_REPS} * blocks AS decode_n, {_REPS} * blocks AS transform_n, {_REPS if a.mutates else 0} * blocks AS encode_n"
+        f" FROM (SELECT count(DISTINCT block_id) AS blocks, sum(v) AS total FROM ({_blocks_sql('R2', Ordering.MORTON)} {_transform_sql(t)})))"
+        for a, t in again
+    )
+    wanted = [(p, f, i, a, one, two) for p, (initial, access_, one, two) in planner.PHASES.items() for f in ("a.tif", "b.tif") for i in initial for a in access_]
+    study = f"WITH p(row, file, transform, dec, \"both\") AS (VALUES {_values(_STUDY)}), l AS (SELECT file, transform, {listed.format('dec')} AS dec, {listed.format('\"both\"')} AS both_ FROM p QUALIFY row_number() OVER (PARTITION BY file, transform ORDER BY row DESC) = 1)"
+    found["planner_phases"] = f"""{study}, w(phase, file, initial, access, one, two) AS (VALUES {_values(wanted)}), j AS (
+  SELECT w.*, CASE WHEN one = 'both' THEN i.both_ ELSE i.dec END AS first, a.both_ AS second FROM w JOIN l AS i ON i.file = w.file AND i.transform = w.initial LEFT JOIN l AS a ON a.file = w.file AND a.transform = w.access)
+SELECT phase, file, initial, access, {joined.format('first')} AS first, CASE WHEN two IS NULL THEN 'FastPFor_JustCopy' ELSE {joined.format('second')} END AS second, unnest([500, 1000, 2000])::INT AS blocks, 10 AS reps, 256 AS size, 'morton' AS ordering, 'linear' AS pattern
+FROM j WHERE len(first) > 0 AND (two IS NULL OR coalesce(len(second), 0) > 0)"""
+    for name, kind in _WIDE_KINDS.items():
+        found[f"t_{name}_256"] = _wide_sql(kind)
     for name, kind in _TRANSFORM_NAMES.items():
         for word, ordering in (("rowmajor", Ordering.ROW_MAJOR), ("morton", Ordering.MORTON), ("array", Ordering.MORTON)):
             found[f"{name}_{word}"] = f"{_blocks_sql('R1', ordering)} {_transform_sql(kind)}"

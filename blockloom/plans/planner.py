@@ -41,6 +41,38 @@ def jobs(pareto: DataFrame, tiffs: list[str], transforms: list[str], columns: li
     return wanted.select("file", "transform", F.array_join(with_mandatory(F.col("own")), "|").alias("codecs"))
 
 
+#: Of each phase of the study: initial transforms, accesses, whose column gives the first codecs, and the second ones (None: none is needed).
+CHANGES, SUMS = ("threshold", "smoothAndShift", "valueBasedClassification", "valueShift"), ("linearSum", "randomSum")
+NO_TRANSFORM = "No Transformation"
+PHASES = {
+    "transform": ((NO_TRANSFORM,), CHANGES, "decompression", "both"),
+    "aggregate from transform": (CHANGES, SUMS, "both", None),
+    "aggregate from none": ((NO_TRANSFORM,), SUMS, "decompression", None),
+}
+
+
+def phases(spark: SparkSession, pareto: DataFrame, tiffs: list[str], columns: dict[str, str], blocks: tuple[int, ...] = (500, 1000, 2000), reps: int = 10, size: int = 256, ordering: str = "morton", pattern: str = "linear", row_number: str | None = None) -> DataFrame:
+    """Every run of the study's three phases, a row for each number of blocks.
+
+    phase, file, initial, access, first (codecs of the first encoding), second (those after the access), blocks,
+    reps, size, ordering, pattern. columns: the columns of ``pareto`` that hold the lists "decompression" and
+    "both". Of several rows for one file and transform the last counts. Both lists have the mandatory codecs; where
+    an access changes nothing, the second is one control. Runs whose lists are empty or missing are left out.
+    """
+    order = F.col(row_number) if row_number else F.monotonically_increasing_id()
+    last = pareto.withColumn("__row", order).groupBy(F.col("File").alias("file"), F.col("Transformation").alias("transform")).agg(F.max_by(F.struct(*[F.col(c).alias(k) for k, c in columns.items()]), "__row").alias("x"))
+    lists = F.broadcast(last.select("file", "transform", *[names(F.col("x")[k]).alias(k) for k in columns]))
+    rows = [(p, f, i, a, one, two) for p, (initial, access, one, two) in PHASES.items() for f in tiffs for i in initial for a in access]
+    wanted = spark.createDataFrame(rows, "phase string, file string, initial string, access string, one string, two string")
+    pick = lambda column: F.when(F.col(column) == "both", F.col("both")).otherwise(F.col("decompression"))
+    first = wanted.join(lists.withColumnRenamed("transform", "initial"), ["file", "initial"]).withColumn("first", pick("one")).drop(*columns)
+    both = first.join(lists.withColumnRenamed("transform", "access"), ["file", "access"], "left").withColumn("second", F.when(F.col("two").isNotNull(), pick("two")))
+    kept = both.filter((F.size("first") > 0) & (F.col("two").isNull() | (F.coalesce(F.size("second"), F.lit(0)) > 0)))
+    second = F.when(F.col("two").isNull(), F.lit(MANDATORY[1])).otherwise(F.array_join(with_mandatory(F.col("second")), "|"))
+    fixed = [F.lit(reps).alias("reps"), F.lit(size).alias("size"), F.lit(ordering).alias("ordering"), F.lit(pattern).alias("pattern")]
+    return kept.select("phase", "file", "initial", "access", F.array_join(with_mandatory(F.col("first")), "|").alias("first"), second.alias("second"), F.explode(F.array(*[F.lit(b) for b in blocks])).alias("blocks"), *fixed)
+
+
 def pareto_front(measured: DataFrame, key: str, costs: list[str]) -> DataFrame:
     """Rows of ``measured`` that no other row beats: as good in every cost and better in one. Null costs have no place.
 

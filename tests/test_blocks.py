@@ -249,3 +249,41 @@ def test_windows_close_behind_the_watermark(spark, tmp_path):
     assert query.awaitTermination(120)
     got = spark.table("closed").orderBy("least").collect()
     assert [(r.n, r.least, r.greatest) for r in got][:2] == [(20, 0, 19), (20, 20, 39)]
+
+
+def test_array_transforms_are_linear(spark):
+    import time
+
+    def took(kind, n):
+        rows = spark.range(4).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: (i * 7919 % 1009).cast("int")).alias("data"))
+        began = time.perf_counter()
+        rows.select(F.aggregate(array_transform(F.col("data"), kind), F.lit(0).cast("long"), lambda a, v: a + v)).collect()
+        return time.perf_counter() - began
+
+    for kind in (Transform.THRESHOLD, Transform.SMOOTH_AND_SHIFT, Transform.VALUE_CLASSES):
+        took(kind, 1000)
+        assert took(kind, 65_536) < 20
+
+
+@pytest.mark.parametrize("kind", [a for a in Access if a.mutates])
+def test_repetitions_change_blocks_as_the_expressions_do(spark, kind):
+    rng = np.random.default_rng(5)
+    arrays = [rng.integers(0, 500, n).tolist() for n in (2, 9, 64, 100)]
+    rows = spark.createDataFrame([(i, len(a), a) for i, a in enumerate(arrays)], "block_id long, n int, data array<int>")
+    for r in rows.select("data", array_transform(F.col("data"), kind.transform).alias("out")).collect():
+        assert pipeline._changed(kind, np.array(r.data)).tolist() == r.out
+    got = pipeline.repetitions(rows, "simdcomp", kind, "LZ4", 4).first()
+    assert (got.blocks, got.reps, got.decode_n, got.transform_n, got.encode_n) == (4, 4, 16, 16, 16)
+    assert got.decode_total > 0 and abs(got.decode_mean * 16 - got.decode_total) < 1 and got.decode_variance >= 0 and got.peak_mb > 1
+    assert pipeline.repetitions(rows, "simdcomp", Access.SUM, "LZ4", 2).first().encode_n == 0
+
+
+def test_phases_of_the_study(spark):
+    runs = catalogue.queries()["planner_phases"](spark, "").collect()
+    assert {r.phase for r in runs} == set(planner.PHASES) and {r.blocks for r in runs} == {500, 1000, 2000}
+    first = [r for r in runs if r.phase == "transform" and r.blocks == 500]
+    assert sorted((r.file, r.access, r.first, r.second) for r in first) == [
+        ("a.tif", "threshold", "FastPFor_JustCopy|LZ4|custom_direct_access|simdcomp", "DEFLATE|FastPFor_JustCopy|custom_direct_access"),
+        ("a.tif", "valueShift", "FastPFor_JustCopy|LZ4|custom_direct_access|simdcomp", "FastPFor_JustCopy|LZ4|LZMA|custom_direct_access"),
+    ]
+    assert all(r.second == "FastPFor_JustCopy" for r in runs if r.phase != "transform")
