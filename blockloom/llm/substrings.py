@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import chunks, cut, mix, split_words, table, window_hashes, window_starts, word_hashes
 
 #: Words of a window, of an anchor; text bytes of a batch; words of a portion; rows of an anchor from which on its group is split.
-WINDOW, ANCHOR, BATCH_BYTES, PORTION, LARGE = 20, 8, 12 << 20, 500_000, 2048
+WINDOW, ANCHOR, BATCH_BYTES, PORTION, LARGE = 20, 8, 8 << 20, 500_000, 2048
 
 
 def _runs(starts: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
