@@ -4,7 +4,7 @@ A window is a suffix of a document cut to WINDOW words. Suffixes are split into
 beginning: the n-gram with the least hash among the window's words, its anchor. Equal windows have equal
 anchors, so all occurrences of a passage meet in one group; neighbouring suffixes mostly share an anchor and
 travel as one row with one stretch of words. Anchors with a single row cannot hold a repeat and are dropped
-before any words are sent. Groups of up to LARGE rows are dealt by anchor, and each task works through whole
+before any words are sent. Groups of up to LARGE rows, about a portion, are dealt by anchor, and each task works through whole
 groups in portions of a bounded number of words: ranks of prefixes of 1, 2, 4, 8, .. words give the order of the
 portion's suffixes and the length that neighbours have in common, which is its suffix tree. An internal node of
 WINDOW words' depth or more is a repeat, maximal to the right at its depth; of the suffixes below, all but the
@@ -27,10 +27,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, mix, split_words, table, window_hashes, window_starts, word_hashes
+from .common import chunks, cut, mix, release, split_words, stored, table, window_hashes, window_starts, word_hashes
 
 #: Words of a window, of an anchor; text bytes of a batch; words of a portion; rows of an anchor from which on its group is split.
-WINDOW, ANCHOR, BATCH_BYTES, PORTION, LARGE = 20, 8, 8 << 20, 500_000, 2048
+WINDOW, ANCHOR, BATCH_BYTES, PORTION, LARGE = 20, 8, 8 << 20, 500_000, 16_384
+#: Anchors whose groups are split, at most; where more are larger than LARGE rows, that is doubled.
+MOST_LARGE = 1_000_000
 
 
 def _runs(starts: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,8 +54,12 @@ def _equal_to_first(order: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.
     return order[~head], first[~head]
 
 
-def _found(window: int, anchor: int):
-    """Of each document: stretches of windows that repeat earlier ones of the batch (found), and the others by anchor."""
+def _found(window: int, anchor: int, large=None):
+    """Of each document: stretches of windows that repeat earlier ones of the batch (found), and the others by anchor.
+
+    With ``large``, a broadcast array of anchors in order: only the others of these anchors, each window a row with
+    two hashes of its words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", BATCH_BYTES):
@@ -84,6 +90,13 @@ def _found(window: int, anchor: int):
                 less = x < best
                 best[less] = x[less]
                 at[less] = (starts[kept] + i)[less]
+            if large is not None:
+                anchors, best = large.value, best.view(np.int64)
+                own = kept[anchors[np.minimum(np.searchsorted(anchors, best), len(anchors) - 1)] == best]
+                other = window_hashes(mix(h ^ np.uint64(0x5851F42D4C957F2D)), window)[starts[own]]
+                named = [ids.take(pa.array(owner[own])), pa.array(t[owner[own]], pa.int64()), pa.array(inside[own].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*named, pa.array(key[own].view(np.int64)), pa.array(other.view(np.int64))], ["doc_id", "t", "start", "h1", "h2"])
+                continue
             heads, lengths = _runs(starts[kept], at, owner[kept])
             lost = np.flatnonzero(gone)
             marked, marks = _runs(starts[lost], owner[lost])
@@ -137,28 +150,6 @@ def _stretches(window: int):
     return run
 
 
-def _windows(window: int):
-    """Rows of a document and its list of stretches, as a row for each window with two hashes of its words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                batch = whole.slice(at, 128)
-                row, start, one, two = [], [], [], []
-                for i, (z, list_) in enumerate(zip(batch.column("z").to_pylist(), batch.column("list").to_pylist(), strict=True)):
-                    h = word_hashes(pa.array(_words_of(z), pa.binary()).cast(pa.string()))
-                    own = np.unique(np.concatenate([np.arange(x["start"], x["start"] + x["count"]) for x in list_]))
-                    row.append(np.full(len(own), i))
-                    start.append(own)
-                    one.append(window_hashes(h, window)[own])
-                    two.append(window_hashes(mix(h ^ np.uint64(0x5851F42D4C957F2D)), window)[own])
-                if row:
-                    names = [batch.column(c).take(pa.array(np.concatenate(row))) for c in ("doc_id", "t")]
-                    yield pa.RecordBatch.from_arrays([*names, pa.array(np.concatenate(start).astype(np.int32)), *[pa.array(np.concatenate(x).view(np.int64)) for x in (one, two)]], ["doc_id", "t", "start", "h1", "h2"])
-
-    return run
-
-
 def _ranked(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Equal numbers for equal pairs, in the order of the pairs: the nodes one level down."""
     pairs = x.astype(np.int64) * (int(y.max()) + 1 if len(y) else 1) + y
@@ -308,10 +299,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     kind = dict(docs.dtypes)["doc_id"]
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", F.crc32(text.cast("binary")).alias("t"), text.alias("text"))
-    found = keyed.mapInArrow(_found(window, anchor), f"doc_id {kind}, t long, anchor long, start int, count int, found boolean")
-    # Counted in parts before the shuffle; the texts are read again for the rows, which costs less disk than keeping them.
-    several = cut(found.filter("not found").groupBy("anchor").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("anchor", (F.col("rows") > large).alias("large")))
-    found = found.join(several, "anchor", "left").filter("found or large is not null")
+    # Written once: the anchors are counted, in parts before the shuffle, before their rows are dealt.
+    found = stored(keyed.mapInArrow(_found(window, anchor), f"doc_id {kind}, t long, anchor long, start int, count int, found boolean"))
+    several = cut(found.filter("not found").groupBy("anchor").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"))
+    while several.filter(F.col("rows") > large).count() > MOST_LARGE:
+        large *= 2
+    release(docs.sparkSession)
+    several = several.select("anchor", (F.col("rows") > large).alias("large"))
+    found = found.join(several, "anchor", "left").filter("found or not large")
     texts = keyed.mapInArrow(_compressed, f"doc_id {kind}, t long, z binary")
 
     def listed(rows: DataFrame) -> DataFrame:
@@ -324,13 +319,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         return texts.join(own, texts["doc_id"].eqNullSafe(F.col("d")) & texts["t"].eqNullSafe(F.col("u")), how).select("doc_id", "t", "z", column)
 
     # Rows that repeat a document send its stretches again, which changes nothing: a place is never earlier than itself.
-    rows = with_texts(listed(found.filter("found or not large")), "list", "inner").mapInArrow(_stretches(window), f"doc_id {kind}, t long, anchor long, start int, count int, words binary")
+    rows = with_texts(listed(found), "list", "inner").mapInArrow(_stretches(window), f"doc_id {kind}, t long, anchor long, start int, count int, words binary")
     ordered = rows.repartition("anchor").sortWithinPartitions("anchor", F.col("doc_id").asc_nulls_last(), "t", "start")
     shape = f"doc_id {kind}, t long, start int, count int"
     gone = ordered.mapInArrow(_marks_and(_trees(window, portion)), shape)
-    if not several.filter("large").isEmpty():
-        windows = with_texts(listed(found.filter("large")), "list", "inner").mapInArrow(_windows(window), f"doc_id {kind}, t long, start int, h1 long, h2 long")
-        gone = gone.unionByName(_later(cut(windows)))
+    split = several.filter("large").select("anchor").toArrow()["anchor"].to_numpy()  # MOST_LARGE at most
+    if len(split):
+        shared = docs.sparkSession.sparkContext.broadcast(np.sort(split))
+        gone = gone.unionByName(_later(cut(keyed.mapInArrow(_found(window, anchor, shared), f"doc_id {kind}, t long, start int, h1 long, h2 long"))))
     marked = gone.groupBy("doc_id", "t").agg(F.collect_list(F.struct("start", "count")).alias("gone"))
     return with_texts(marked, "gone", "left").mapInArrow(_finished(window), f"doc_id {kind}, n_words long, n_removed long, text string")
 
