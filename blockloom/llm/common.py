@@ -70,7 +70,7 @@ def broadcast_if_small(df: DataFrame, rows: int = 100_000, size: int = 8 << 20)
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again; ``discard`` deletes the files."""
     path = f"{shared_folder(df.sparkSession)}/blockloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import chunks, cut, mix, release, split_words, stored, table, window_hashes, window_starts, word_hashes
 
 #: Words of a window, of an anchor; text bytes of a batch; words of a portion; rows of an anchor from which on its group is split.
-WINDOW, ANCHOR, BATCH_BYTES, PORTION, LARGE = 20, 8, 8 << 20, 500_000, 16_384
+WINDOW, ANCHOR, BATCH_BYTES, PORTION, LARGE = 20, 8, 10 << 20, 500_000, 16_384
 #: Anchors whose groups are split, at most; where more are larger than LARGE rows, that is doubled.
 MOST_LARGE = 1_000_000
 
@@ -57,6 +57,8 @@ def _equal_to_first(order: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.
 def _found(window: int, anchor: int, large=None):
     """Of each document: stretches of windows that repeat earlier ones of the batch (found), and the others by anchor.
 
+    at: a stretch's first window (upper 32 bits), its windows (the next 31) and whether it is found (the last).
+
     With ``large``, a broadcast array of anchors in order: only the others of these anchors, each window a row with
     two hashes of its words.
     """
@@ -105,10 +107,10 @@ def _found(window: int, anchor: int, large=None):
             value = np.concatenate([best[heads], mix(starts[lost[marked]].astype(np.uint64) + key[lost[marked]])])
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.take(pa.array(owner[place])), pa.array(t[owner[place]], pa.int64()), pa.array(value.view(np.int64)), pa.array(inside[place].astype(np.int32)),
-                    pa.array(np.concatenate([lengths, marks]).astype(np.int32)), pa.array(np.arange(len(place)) >= len(heads)),
+                    ids.take(pa.array(owner[place])), pa.array(t[owner[place]], pa.int64()), pa.array(value.view(np.int64)),
+                    pa.array((inside[place].astype(np.int64) << 32) | (np.concatenate([lengths, marks]) << 1) | (np.arange(len(place)) >= len(heads))),
                 ],
-                ["doc_id", "t", "anchor", "start", "count", "found"],
+                ["doc_id", "t", "anchor", "at"],
             )
 
     return run
@@ -139,9 +141,9 @@ def _stretches(window: int):
                     for x in list_:
                         row.append(i)
                         anchor.append(x["anchor"])
-                        start.append(s := x["start"])
-                        count.append(n := x["count"])
-                        text.append(None if x["found"] else b" ".join(words[s : s + n + window - 1]))
+                        start.append(s := x["at"] >> 32)
+                        count.append(n := (x["at"] & 0xFFFFFFFF) >> 1)
+                        text.append(None if x["at"] & 1 else b" ".join(words[s : s + n + window - 1]))
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(c).take(pa.array(row, pa.int32())) for c in ("doc_id", "t")], pa.array(anchor, pa.int64()), pa.array(start, pa.int32()), pa.array(count, pa.int32()), pa.array(text, pa.binary())],
                     ["doc_id", "t", "anchor", "start", "count", "words"],
@@ -300,18 +302,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", F.crc32(text.cast("binary")).alias("t"), text.alias("text"))
     # Written once: the anchors are counted, in parts before the shuffle, before their rows are dealt.
-    found = stored(keyed.mapInArrow(_found(window, anchor), f"doc_id {kind}, t long, anchor long, start int, count int, found boolean"))
-    several = cut(found.filter("not found").groupBy("anchor").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"))
+    found = stored(keyed.mapInArrow(_found(window, anchor), f"doc_id {kind}, t long, anchor long, at long"))
+    several = cut(found.filter("at & 1 = 0").groupBy("anchor").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"))
     while several.filter(F.col("rows") > large).count() > MOST_LARGE:
         large *= 2
     release(docs.sparkSession)
     several = several.select("anchor", (F.col("rows") > large).alias("large"))
-    found = found.join(several, "anchor", "left").filter("found or not large")
+    found = found.join(several, "anchor", "left").filter("at & 1 = 1 or not large")
     texts = keyed.mapInArrow(_compressed, f"doc_id {kind}, t long, z binary")
 
     def listed(rows: DataFrame) -> DataFrame:
         """Stretches by document; rows that repeat a document give each of them once."""
-        return rows.groupBy("doc_id", "t").agg(F.collect_set(F.struct("anchor", "start", "count", "found")).alias("list"))
+        return rows.groupBy("doc_id", "t").agg(F.collect_set(F.struct("anchor", "at")).alias("list"))
 
     # Null-safe on both keys: so no filter is put before one of the two joins, and both read one exchange of the texts.
     def with_texts(side: DataFrame, column: str, how: str) -> DataFrame:
@@ -326,7 +328,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     split = several.filter("large").select("anchor").toArrow()["anchor"].to_numpy()  # MOST_LARGE at most
     if len(split):
         shared = docs.sparkSession.sparkContext.broadcast(np.sort(split))
-        gone = gone.unionByName(_later(cut(keyed.mapInArrow(_found(window, anchor, shared), f"doc_id {kind}, t long, start int, h1 long, h2 long"))))
+        gone = gone.unionByName(_later(stored(keyed.mapInArrow(_found(window, anchor, shared), f"doc_id {kind}, t long, start int, h1 long, h2 long"))))
     marked = gone.groupBy("doc_id", "t").agg(F.collect_list(F.struct("start", "count")).alias("gone"))
     return with_texts(marked, "gone", "left").mapInArrow(_finished(window), f"doc_id {kind}, n_words long, n_removed long, text string")
 
