@@ -34,7 +34,9 @@ def _key(line: Column) -> tuple[Column, Column]:
 def lines_of(docs: DataFrame) -> DataFrame:
     """Lines that are not blank: doc_id, t (hash of the text), site, pos (from 0), h1, h2."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    parts = docs.select(F.col("doc_id"), F.xxhash64(text).alias("t"), F.coalesce(F.col("source"), F.lit("")).alias("site"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    # What concerns the whole text is computed below the generator, once a document; above it, once a line.
+    whole = docs.select("doc_id", F.xxhash64(text).alias("t"), F.coalesce(F.col("source"), F.lit("")).alias("site"), F.split(text, "\n").alias("parts"))
+    parts = whole.select("doc_id", "t", "site", F.posexplode("parts").alias("pos", "line"))
     trimmed = F.trim(F.col("line"), F.lit(BLANK))
     return parts.withColumn("line", trimmed).filter(F.col("line") != "").select("doc_id", "t", "site", "pos", *_key(F.col("line")))
 
