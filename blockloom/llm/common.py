@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that a Python worker handles at once.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 2 << 20
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _POLY = 0x9E3779B97F4A7C15
