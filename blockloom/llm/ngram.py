@@ -322,8 +322,13 @@ def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame
     real = sets.filter("n > 0 and doc_id is not null")
     side = ["s0", "s1", "s2", "s3"]
     classes = cut(real.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("other")))
-    heads = sets.join(classes.select("n", "f1", "f2", F.col("lead").alias("doc_id")), ["doc_id", "n", "f1", "f2"], "left_semi").dropDuplicates(["doc_id"])
+    # Copies of a node go first and by the join's keys, so prefixes are shuffled once.
+    whole = ["doc_id", "n", "f1", "f2"]
+    heads = real.dropDuplicates(whole).join(classes.select("n", "f1", "f2", F.col("lead").alias("doc_id")), whole, "left_semi")
     heads = cut(heads.select("doc_id", "n", *side, "prefix"))
+    # From here on, only the classes' heads need their prefixes; the table with all of them can go.
+    sets = cut(sets.select(*whole))
+    real = sets.filter("n > 0 and doc_id is not null")
     release(docs.sparkSession)
     inside = real.join(classes.filter("lead <> other").select("n", "f1", "f2", "lead"), ["n", "f1", "f2"]).filter("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.llm import lines, mixing, ngram, packing, quality
-from blockloom.llm.common import discard, stored, table
+from blockloom.llm.common import cut, discard, release, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -36,14 +36,19 @@ def no_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near-duplicates: five words, 80 percent. Texts that share an id count each."""
+    """Keeps the smallest doc_id of each group of near-duplicates: five words, 80 percent. Texts that share an id count each.
+
+    The join's tables go before any text is shuffled: only the ids that go are kept. Texts are shuffled once.
+    """
     node = ngram.node_of(docs)
     found = ngram.linked(docs.select(node.alias("doc_id"), "text"))
-    keep = found.filter(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select(F.col("doc_id").alias("__id"))
-    own = docs.withColumn("__node", node)
-    kept = own.join(keep, own["__node"].eqNullSafe(keep["__id"]), "left_semi")
-    # Rows that repeat an id and its text are copies, too.
-    return kept.withColumn("__t", F.xxhash64("text")).dropDuplicates(["doc_id", "__t"]).select(*COLUMNS)
+    gone = cut(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__node")).distinct())
+    del found
+    release(spark)
+    own = docs.select(*COLUMNS, node.alias("__node"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__t"))
+    # Rows that repeat an id and its text are copies, too, those without an id by their texts alone.
+    kept = own.filter("__node is not null").dropDuplicates(["__node"]).join(gone, "__node", "left_anti")
+    return kept.select(*COLUMNS).unionByName(own.filter("__node is null").dropDuplicates(["__t"]).select(*COLUMNS))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
