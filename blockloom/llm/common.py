@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that a Python worker handles at once.
 CHUNK_BYTES = 2 << 20
+#: Rows that a Python worker is sent at once where small_batches() holds: whole texts lie in memory on both sides of the pipe.
+BATCH_ROWS = 500
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _POLY = 0x9E3779B97F4A7C15
@@ -60,6 +63,25 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def few_rows(spark: SparkSession) -> str:
+    """Sends BATCH_ROWS rows to Python at once, at most, in what the session runs from now on; gives the setting before."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+    return before
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """few_rows() for what is run inside; frames that are returned and run later have the session's setting."""
+    before = few_rows(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = 100_000, size: int = 8 << 20) -> DataFrame:
     """A checkpointed frame, to be broadcast if it has at most so many rows and bytes; else joins shuffle it."""
     wide = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, mix, release, split_words, table, window_hashes, window_starts, word_hashes
+from .common import chunks, cut, mix, release, small_batches, split_words, table, window_hashes, window_starts, word_hashes
 from .components import components
 
 #: Words of an n-gram and least similarity in percent, unless a caller says otherwise.
@@ -317,6 +317,11 @@ def _second_round(own: DataFrame, tried: DataFrame, percent: int, block: int = B
 
 def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """As similar(), of documents whose doc_id is a node by node_of(): equal ones have equal texts."""
+    with small_batches(docs.sparkSession):
+        return _linked(docs, k, percent)
+
+
+def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     sets = sets_of(docs, k, percent)
     # Documents with equal sets are a class; the least id stands for it.
     real = sets.filter("n > 0 and doc_id is not null")

@@ -16,13 +16,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.llm import lines, mixing, ngram, packing, quality
-from blockloom.llm.common import cut, discard, release, stored, table
+from blockloom.llm.common import cut, discard, few_rows, release, small_batches, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the classifier scores below its threshold; it learns without the held-out fifth."""
+    """Drops documents that the classifier scores below its threshold; it learns without the held-out fifth.
+
+    As its result runs later, the session keeps sending few rows to Python at once; run() puts that back.
+    """
+    few_rows(spark)
     labels = table(spark, sf_dir, "labels", False).filter(~quality.held_out(F.col("doc_id")))
     scored = quality.score(docs, quality.train(docs, labels))
     return scored.filter(F.col("score") >= quality.THRESHOLD).select(*COLUMNS)
@@ -77,10 +81,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for number, (_, stage) in enumerate(STAGES, 1):
-        before, docs = docs, stage(spark, docs, sf_dir)
-        if number < len(STAGES):
-            docs = stored(docs)
-            if number > 1:
-                discard(before)
+    with small_batches(spark):
+        for number, (_, stage) in enumerate(STAGES, 1):
+            before, docs = docs, stage(spark, docs, sf_dir)
+            if number < len(STAGES):
+                docs = stored(docs)
+                if number > 1:
+                    discard(before)
     return docs

@@ -1,7 +1,11 @@
 """What the n-gram join of the pipeline moves and keeps: texts and prefixes are shuffled once, its tables go before the texts move."""
 
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from blockloom.llm import ngram
+from blockloom.llm import common, ngram
 
 
 def below(plan):
@@ -60,3 +64,23 @@ def test_one_row_of_each_group_stays(spark, odd_docs):
         assert sorted(r.text or "" for r in got if r.doc_id is None) == sorted(unnamed)
         whole = {tuple(r) for r in docs.select(*corpus_pipeline.COLUMNS).collect()}
         assert {tuple(r)[1:] for r in got} <= whole
+
+
+def test_few_rows_are_sent_at_once_and_the_setting_comes_back(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(name), []
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit("text of "), "id").alias("text"))
+    real = ngram.sets_of
+
+    def sent(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    def watched(docs, k, percent):
+        seen.append(docs.mapInArrow(sent, "n long").agg(F.max("n")).first()[0])
+        return real(docs, k, percent)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(ngram, "sets_of", watched)
+        assert ngram.linked(docs).count() == 3000
+    assert seen == [common.BATCH_ROWS] and spark.conf.get(name) == before
